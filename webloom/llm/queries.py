@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from webloom.llm import chat, mixing
+from webloom.llm.decontaminate import contamination
+from webloom.llm.media import store_and_read
 from webloom.llm.near_dedup import near_duplicates
 
 
@@ -11,9 +15,26 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store_and_read(_docs(spark, sf_dir)).drop("error")
+
+
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_docs(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_minhash_near_dedup,)}
-ORACLE_SQL: dict[str, str] = {}
+def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_docs(spark, sf_dir))
+
+
+def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = chat.with_probe(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return chat.digests(chat.flatten(rows.select("conv_id", "turn", "role", chat.text_part(F.col("text")).alias("parts"))))
+
+
+QUERIES = {f.__name__: f for f in (op1_media_columns, op2_minhash_near_dedup, op5_benchmark_decontamination, op8_source_mixing, op10_chat_formatting)}
+ORACLE_SQL: dict[str, str] = {"op8_source_mixing": mixing.MIX_SQL, "op10_chat_formatting": chat.CHAT_SQL}
