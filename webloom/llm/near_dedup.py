@@ -2,7 +2,7 @@
 
 A text becomes its set of 5-word shingles. Each of REGISTERS hash functions keeps the smallest value over the set, compressed to a register of a leading-zero count and mantissa bits. Bands of registers propose pairs; the share of equal registers, corrected for chance collisions of compressed registers, estimates the Jaccard similarity and drops hopeless pairs; the rest are confirmed on the full sets.
 
-No bucket is ever expanded into all pairs. Texts with equal sets are one class. In each bucket members meet pivots (its smallest members), links fold into components, and only buckets that still hold several components go on, with new pivots, until every pair of different components has been compared or the bucket is one component. So the work is linear where a bucket is one large group of copies, and still exhaustive where it is not.
+No bucket is ever expanded into all pairs. Texts with equal sets are one class. In each bucket members meet pivots (its smallest members), links fold into components, and only buckets that still hold several components go on, with new pivots, until every pair of different components has been compared or the bucket is one component. Before those rounds a document leaves if so many of its shingles stand in no other document of its buckets that no link can reach it, and a pair is not proposed if its two counts of such shingles rule it out; and if their parity bits differ in more places than similar sets can; these bounds are exact. So the work is linear where a bucket is one large group of copies, and still exhaustive where it is not.
 
 Nulls, empty and white-space texts have an empty set and link with nothing. Repeated rows are copies of each other; rows that repeat a doc_id stay, one result row each; a null doc_id keeps its row, with a null component. Other columns are ignored. An empty table gives an empty result.
 """
@@ -25,8 +25,9 @@ REGISTERS = 120
 ROWS = 5  #: registers in a band; a pair of similarity .85 shares none of 24 bands with a chance of 8e-7
 BANDS = REGISTERS // ROWS
 MANTISSA = 10
-MARGIN = 0.22  #: five standard errors of the estimate at .85 with 120 registers are .16
-SMALL = 64  #: buckets up to this size take so many pivots at once
+MARGIN = 0.165  #: five standard errors of the estimate at .85 with 120 registers
+PARITY, PARITY_BITS = 16, 10
+PIVOTS = 1024  #: pivots of a bucket in a round after the first
 
 _A = np.random.Generator(np.random.PCG64(11)).integers(1, 2**63, REGISTERS, dtype=np.uint64) * U(2) + U(1)
 _B = np.random.Generator(np.random.PCG64(12)).integers(0, 2**63, REGISTERS, dtype=np.uint64)
@@ -53,6 +54,12 @@ def registers(shingles: np.ndarray) -> np.ndarray:
     return ((zeros.astype(np.uint16) << np.uint16(MANTISSA)) | mantissa.astype(np.uint16)).astype("<u2")
 
 
+def parity(shingles: np.ndarray) -> np.ndarray:
+    """Bits that say of each of 64 * PARITY cells whether an odd number of shingles falls in it: two sets differ in at least as many shingles as their bits differ in."""
+    cell = (mix(shingles ^ U(0xA5A5A5A5A5A5A5A5)) >> U(64 - PARITY_BITS)).astype(np.int64)
+    return np.packbits((np.bincount(cell, minlength=64 * PARITY) & 1).astype(np.uint8)).view("<i8")
+
+
 def estimate(x: np.ndarray, y: np.ndarray) -> float:
     """Jaccard similarity from two register arrays. Unrelated registers agree by chance with probability c (equal exponents 2^-i each, equal mantissas 2^-MANTISSA), so the share s of equal ones is corrected to (s - c) / (1 - c)."""
     c = 2.0**-MANTISSA / 3
@@ -64,7 +71,7 @@ def _sketches(id_col: str, text_col: str):
         for part in slices(batches, text_col):
             names = part.schema.names
             words = Words(*pack(part.column(names.index(text_col))), SPACED)
-            n, hi, lo, regs = [], [], [], []
+            n, hi, lo, regs, bits = [], [], [], [], []
             for i in range(part.num_rows):
                 s = shingle_set(words.hash[words.first[i] : words.first[i + 1]])
                 n.append(len(s))
@@ -72,9 +79,10 @@ def _sketches(id_col: str, text_col: str):
                 lo.append(int(signed(mix(s * U(0xD6E8FEB86659FD93)).sum(keepdims=True))[0]) if len(s) else 0)
                 r = registers(s) if len(s) else np.zeros(0, "<u2")
                 regs.append(r.tobytes())
+                bits.append(parity(s))
             yield pa.RecordBatch.from_arrays(
-                [part.column(names.index(id_col)), pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(regs, pa.binary())],
-                names=["doc_id", "n_shingles", "hi", "lo", "regs"],
+                [part.column(names.index(id_col)), pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(regs, pa.binary()), pa.ListArray.from_arrays(np.arange(0, PARITY * len(n) + 1, PARITY, dtype=np.int32), np.concatenate(bits))],
+                names=["doc_id", "n_shingles", "hi", "lo", "regs", "parity"],
             )
 
     return run
@@ -126,50 +134,86 @@ def _confirmed(percent: int):
     return run
 
 
+def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part in slices(batches, "text"):
+        words = Words(*pack(part.column(1)), SPACED)
+        sets = [shingle_set(words.hash[words.first[i] : words.first[i + 1]]) for i in range(part.num_rows)]
+        ids = np.repeat(np.asarray(part.column(0)), [len(x) for x in sets])
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(signed(np.concatenate(sets)))], names=["doc_id", "shingle"])
+
+
+def _several(members: DataFrame) -> DataFrame:
+    """Keys and sizes of the buckets that hold several components."""
+    return members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo != hi").select("key", "size")
+
+
+def _links(pairs: DataFrame, regs: DataFrame, some: DataFrame, percent: int, ws: Workspace, turn: int) -> DataFrame:
+    """Proposed pairs (doc_id, b) that the estimate lets pass and the full sets confirm."""
+    pairs = pairs.select(F.greatest("doc_id", "b").alias("a"), F.least("doc_id", "b").alias("b")).distinct()
+    pairs = pairs.join(regs.select(F.col("doc_id").alias("a"), F.col("regs").alias("ra")), "a").join(regs.select(F.col("doc_id").alias("b"), F.col("regs").alias("rb")), "b")
+    pairs = ws.save(pairs.select("a", "b", "ra", "rb").mapInArrow(_hopeful(percent / 100 - MARGIN), "a long, b long"), f"pairs{turn}")
+    full = pairs.join(some.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(some.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+    return ws.save(full.select("a", "b", "text_a", "text_b").mapInArrow(_confirmed(percent), "a long, b long"), f"links{turn}")
+
+
+def _place(classes: DataFrame, links: DataFrame, ws: Workspace, turn: int) -> DataFrame:
+    """id, component of every class."""
+    named = components(links, ws, f"cc{turn}")
+    return ws.save(classes.select(F.col("rep").alias("id")).join(named, "id", "left").select("id", F.coalesce("component", "id").alias("component")), f"placed{turn}")
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept: documents are linked if 100 * |A and B| >= percent * |A or B|, and component_id is the smallest id reachable through links."""
     spark = docs.sparkSession
     ship(spark)
     ws = Workspace(spark, "near")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sketch = ws.save(texts.mapInArrow(_sketches("doc_id", "text"), "doc_id long, n_shingles long, hi long, lo long, regs binary"), "sketch")
+    sketch = ws.save(texts.mapInArrow(_sketches("doc_id", "text"), "doc_id long, n_shingles long, hi long, lo long, regs binary, parity array<long>"), "sketch")
     filled = sketch.where("n_shingles > 0 and doc_id is not null")
     classes = ws.save(filled.groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.first("regs").alias("regs")), "classes")
     regs = classes.select(F.col("rep").alias("doc_id"), "regs")
     members = regs.mapInArrow(_bands, "key long, doc_id long")
     keys = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     members = ws.save(members.join(keys, "key"), "members0")
-    turn = 0
-    while True:
-        pivots = members.groupBy("key", F.pmod(F.xxhash64("doc_id"), F.lit(SMALL if turn else 1)).alias("salt")).agg(F.min("doc_id").alias("b"))
-        pivots = ws.save(pivots.select("key", "b"), f"pivots{turn}")
-        if turn:
-            named = pivots.join(members.select("key", F.col("doc_id").alias("b"), F.col("component").alias("component_b")), ["key", "b"])
-            pairs = members.join(named, "key").where("component != component_b")
-        else:
-            pairs = members.join(pivots, "key").where("doc_id != b")
-        pairs = pairs.select(F.greatest("doc_id", "b").alias("a"), F.least("doc_id", "b").alias("b")).distinct()
-        pairs = pairs.join(regs.select(F.col("doc_id").alias("a"), F.col("regs").alias("ra")), "a").join(regs.select(F.col("doc_id").alias("b"), F.col("regs").alias("rb")), "b")
-        pairs = ws.save(pairs.select("a", "b", "ra", "rb").mapInArrow(_hopeful(percent / 100 - MARGIN), "a long, b long"), f"pairs{turn}")
-        wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b"))).distinct()
-        # the texts of proposed documents only, once; a later join meets them by id
-        some = ws.save(texts.join(wanted, "doc_id").groupBy("doc_id").agg(F.first("text").alias("text")), f"some{turn}")
-        full = pairs.join(some.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(some.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-        found = ws.save(full.select("a", "b", "text_a", "text_b").mapInArrow(_confirmed(percent), "a long, b long"), f"links{turn}")
-        ws.drop(f"some{turn}")
-        if turn == 0 or not found.isEmpty():
-            stars = components(found if turn == 0 else found.union(stars.select(F.col("id").alias("a"), F.col("component").alias("b"))), ws, f"cc{turn}")
-            placed = ws.save(classes.select(F.col("rep").alias("id")).join(stars, "id", "left").select("id", F.coalesce("component", "id").alias("component")), f"placed{turn}")
-        # what remains: members that were no pivots, in buckets of several components
-        rest = members.join(pivots.select("key", F.col("b").alias("doc_id"), F.lit(True).alias("done")), ["key", "doc_id"], "left").where("done is null").select("key", "doc_id")
-        rest = rest.join(placed.withColumnRenamed("id", "doc_id"), "doc_id").select("key", "doc_id", "component")
-        open_ = rest.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("key")
-        rest = ws.save(rest.join(open_, "key"), f"members{turn + 1}")
-        ws.drop(f"members{turn}")
+    # the texts of documents that share a bucket, once, by the same plan at every size
+    wanted = members.select("doc_id").distinct().hint("shuffle_merge")
+    some = ws.save(texts.join(wanted, "doc_id").groupBy("doc_id").agg(F.first("text").alias("text")), "some")
+    pivots = ws.save(members.groupBy("key").agg(F.min("doc_id").alias("b")), "pivots0")
+    pairs = members.join(pivots, "key").where("doc_id != b")
+    found = _links(pairs, regs, some, percent, ws, 0)
+    placed = _place(classes, found, ws, 0)
+    stars = placed
+    # what remains: in buckets of several components, members that were no pivots
+    named = members.join(placed.withColumnRenamed("id", "doc_id"), "doc_id")
+    several = ws.save(named.join(_several(named).select("key"), "key"), "several")
+    alone = several.select("doc_id").distinct().hint("shuffle_merge")
+    own = some.join(alone, "doc_id").mapInArrow(_shingles, "doc_id long, shingle long")
+    own = own.groupBy("shingle").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id")).where("n = 1").groupBy("doc_id").agg(F.count("*").alias("u"))
+    # u: shingles that no document it could be linked with has; enough of them rule out any link
+    own = sketch.select("doc_id", F.col("n_shingles").alias("n"), "parity").join(several.select("doc_id").distinct(), "doc_id").join(own, "doc_id", "left")
+    own = own.groupBy("doc_id").agg(F.first("n").alias("n"), F.coalesce(F.first("u"), F.lit(0)).alias("u"), F.first("parity").alias("parity"))
+    own = ws.save(own.where(f"100 * (n - u) >= {percent} * n"), "own")
+    members = several.join(pivots.select("key", F.col("b").alias("doc_id"), F.lit(True).alias("done")), ["key", "doc_id"], "left").where("done is null").select("key", "doc_id", "component").join(own, "doc_id")
+    members = ws.save(members.join(_several(members), "key"), "members1")
+    ws.drop("members0", "several", "pivots0")
+    turn = 1
+    while not members.isEmpty():
+        salt = F.when(F.col("size") <= PIVOTS, F.col("doc_id")).otherwise(F.pmod(F.xxhash64("doc_id"), F.lit(PIVOTS)))
+        pivots = members.groupBy("key", salt.alias("salt")).agg(F.min("doc_id").alias("b")).select("key", "b")
+        pivots = members.join(pivots.withColumnRenamed("b", "doc_id"), ["key", "doc_id"])
+        pivots = ws.save(pivots.select("key", F.col("doc_id").alias("b"), F.col("component").alias("component_b"), F.col("n").alias("n_b"), F.col("u").alias("u_b"), F.col("parity").alias("parity_b")), f"pivots{turn}")
+        differ = " + ".join(f"bit_count(parity[{k}] ^ parity_b[{k}])" for k in range(PARITY))
+        able = f"(doc_id > b or size > {PIVOTS}) and component != component_b and 100 * (n - u) >= {percent} * (n + u_b) and 100 * (n_b - u_b) >= {percent} * (n_b + u) and {100 + percent} * ({differ}) <= {100 - percent} * (n + n_b)"
+        pairs = members.join(pivots, "key").where(able)
+        found = _links(pairs, regs, some, percent, ws, turn)
+        if not found.isEmpty():
+            placed = stars = _place(classes, found.union(stars.select(F.col("id").alias("a"), F.col("component").alias("b"))), ws, turn)
+        rest = members.join(pivots.select("key", F.col("b").alias("doc_id"), F.lit(True).alias("done")), ["key", "doc_id"], "left").where("done is null").drop("done", "component", "size")
+        rest = rest.join(placed.withColumnRenamed("id", "doc_id"), "doc_id")
+        rest = ws.save(rest.join(_several(rest), "key"), f"members{turn + 1}")
+        ws.drop(f"members{turn}", f"pivots{turn}")
         members = rest
         turn += 1
-        if members.isEmpty():
-            break
     final = placed.withColumnRenamed("id", "rep")
     where = classes.select("hi", "lo", "rep").join(final, "rep").select("hi", "lo", "component")
     out = sketch.select("doc_id", "n_shingles", "hi", "lo").join(where, ["hi", "lo"], "left")
