@@ -9,6 +9,7 @@ from webloom.llm import chat, mixing, warc
 from webloom.llm.decontaminate import contamination
 from webloom.llm.media import store_and_read
 from webloom.llm.near_dedup import near_duplicates
+from webloom.llm.toxicity import toxicity
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +28,10 @@ def op3_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_and_read(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -40,5 +45,5 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.flatten(rows.select("conv_id", "turn", "role", chat.text_part(F.col("text")).alias("parts"))))
 
 
-QUERIES = {f.__name__: f for f in (op1_media_columns, op2_minhash_near_dedup, op3_warc_round_trip, op5_benchmark_decontamination, op8_source_mixing, op10_chat_formatting)}
+QUERIES = {f.__name__: f for f in (op1_media_columns, op2_minhash_near_dedup, op3_warc_round_trip, op4_toxicity, op5_benchmark_decontamination, op8_source_mixing, op10_chat_formatting)}
 ORACLE_SQL: dict[str, str] = {"op3_warc_round_trip": warc.WARC_SQL, "op8_source_mixing": mixing.MIX_SQL, "op10_chat_formatting": chat.CHAT_SQL}

@@ -4,5 +4,207 @@ An expression is a word with its borders: symbols are the bytes of the lower-cas
 
 Log-likelihoods depend on a gram and its context only, and a gram unseen in both classes on its context only, so a model is two tables of SLOTS float32 values by hashed gram and hashed context: its size is fixed whatever the corpus. The counts behind it come from every document, one partial sum a task, added up by slot.
 
-A document's score is a logistic function of pooled word scores (POOLED), whose few coefficients are fitted on at most FIT_ROWS labelled rows, those of the smallest hash of their ids. Texts without words score as the fitted function does with all features 0.
+A document's score is a logistic function of pooled word scores (mean excess and its sum), whose few coefficients are fitted on at most FIT_ROWS labelled rows, those of the smallest hash of their ids. They come from a fifth of the labelled rows, scored with a model that has not counted that fifth; the final model counts all.
+
+Null and empty texts have features 0 and the lowest score. Repeated rows keep a row each; a null doc_id has no label and is not held out; of several labels of an id the highest counts. Other columns are ignored. Without labels every score is below the threshold; an empty table gives no rows.
 """
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from webloom.llm.words import _BYTE, PLAIN, U, Words, _pow_tables, mix, pack, slices
+from webloom.session import Workspace, ship
+
+ORDER = 8  #: symbols in a gram
+SLOT_BITS = 22
+SLOTS = 1 << SLOT_BITS
+DISCOUNT = 0.75
+PRIOR = 5.0  #: a context seen H times leaves at least PRIOR / (H + PRIOR) to the shared model
+EXCESS = 4.0  #: what a word's log-likelihood ratio must exceed to count
+THRESHOLD = 0.7
+FIT_ROWS = 20_000
+BROADCAST_ROWS = 4_000_000  #: labels of 16 bytes; more of them are joined by a shuffle
+SLICE = 8 << 20
+
+
+class Expressions:
+    """Distinct words of a piece of text as symbol streams, with hashed slots of each symbol's gram and context, and of both without their first symbol."""
+
+    def __init__(self, words: Words):
+        kinds, first, self.inverse = np.unique(words.hash, return_index=True, return_inverse=True)
+        size = (words.ends - words.starts)[first] + 2
+        self.begin = np.concatenate([[0], np.cumsum(size)])
+        total = int(self.begin[-1])
+        self.symbols = size - 1
+        stream = np.full(total, 32, np.uint8)
+        place = np.arange(total) - np.repeat(self.begin[:-1], size)
+        inner = np.flatnonzero((place > 0) & (place < np.repeat(size, size) - 1))
+        stream[inner] = words.data[np.repeat(words.starts[first] - self.begin[:-1] - 1, size)[inner] + inner]
+        up, down = _pow_tables(total + 1)
+        sums = np.concatenate([np.zeros(1, U), np.cumsum(_BYTE[stream] * up[:total], dtype=U)])
+        self.at = at = np.flatnonzero(place > 0)  # predicted symbols
+        n = np.minimum(place[at] + 1, ORDER)
+        a = at - n + 1
+
+        def slot(start: np.ndarray, stop: np.ndarray, kind: int) -> np.ndarray:
+            h = (sums[stop] - sums[start]) * down[start]
+            return (mix(h + (stop - start).astype(U) * U(kind)) >> U(64 - SLOT_BITS)).astype(np.int32)
+
+        self.gram, self.context = slot(a, at + 1, 0x9E37), slot(a, at, 0x79B9)
+        self.less, self.less_context = slot(a + 1, at + 1, 0x7F4B), slot(a + 1, at, 0x7C15)
+        self.word = np.repeat(np.arange(len(size)), self.symbols)
+
+    def scores(self, grams: np.ndarray, contexts: np.ndarray) -> np.ndarray:
+        """Toxic less ordinary log-likelihood of each word of the text."""
+        ratio = grams[self.gram]
+        unseen = np.isnan(ratio)
+        ratio = np.where(unseen, contexts[self.context], ratio).astype(np.float64)
+        own = np.bincount(self.word, weights=ratio, minlength=len(self.symbols))
+        return own[self.inverse.reshape(-1)]
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each gram slot that a task has seen: slots, and counts in toxic and ordinary texts, all and the calibration part."""
+    counts = np.zeros((4, SLOTS), np.int32)
+    seen = np.zeros(SLOTS, bool)
+    more = np.zeros((3, SLOTS), np.int32)
+    for part in slices(batches, "text", SLICE):
+        words = Words(*pack(part.column(0)), PLAIN)
+        if not len(words.hash):
+            continue
+        e = Expressions(words)
+        new = ~seen[e.gram]
+        slot = e.gram[new]
+        seen[slot] = True
+        for k, x in enumerate((e.context, e.less, e.less_context)):
+            more[k, slot] = x[new]
+        label = np.repeat(np.asarray(part.column(1)), np.diff(words.first))  # -1: none; 0, 1; 2, 3 in the calibration part
+        for k in range(4):
+            mine = label == k
+            if mine.any():
+                weight = np.bincount(e.inverse.reshape(-1)[mine], minlength=len(e.symbols))
+                counts[k] += np.bincount(e.gram, weights=weight[e.word], minlength=SLOTS).astype(np.int32)
+    slot = np.flatnonzero(seen).astype(np.int32)
+    for at in range(0, len(slot), 100_000):
+        s = slot[at : at + 100_000]
+        yield pa.RecordBatch.from_arrays([pa.array(s), *(pa.array(more[k, s]) for k in range(3)), *(pa.array(counts[k, s]) for k in range(4))], names=["gram", "context", "less", "less_context", "c0", "c1", "c2", "c3"])
+
+
+_COUNTED = "gram int, context int, less int, less_context int, c0 int, c1 int, c2 int, c3 int"
+
+
+class Model:
+    """Tables of log-likelihood ratios by gram and by context, from gram rows and their counts in both classes."""
+
+    def __init__(self, gram, context, less, less_context, ordinary, toxic):
+        types = np.bincount(less, minlength=SLOTS)
+        contexts = np.bincount(less_context, minlength=SLOTS)
+        shared = 0.95 * types[less] / np.maximum(contexts[less_context], 1) + 0.05 / 256
+        logs, left = [], []
+        for c in (ordinary, toxic):
+            seen = np.bincount(context, weights=c, minlength=SLOTS)
+            kinds = np.bincount(context[c > 0], minlength=SLOTS)
+            h = np.maximum(seen, 1)
+            weight = np.where(seen > 0, np.clip(DISCOUNT * kinds / h, PRIOR / (h + PRIOR), 1), 1)
+            own = np.where(seen[context] > 0, np.maximum(c - DISCOUNT, 0) / h[context], 0)
+            logs.append(np.log(own + weight[context] * shared))
+            left.append(np.log(weight))
+        self.contexts = (left[1] - left[0]).astype(np.float32)
+        self.grams = np.full(SLOTS, np.nan, np.float32)
+        labelled = (ordinary + toxic) > 0
+        self.grams[gram[labelled]] = (logs[1] - logs[0])[labelled]
+
+
+def pooled(scores: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """For each text: log of its mean excess, and log of one more than its sum."""
+    n = np.diff(first)
+    doc = np.repeat(np.arange(len(n)), n)
+    excess = np.bincount(doc, weights=np.maximum(scores - EXCESS, 0), minlength=len(n))
+    return np.stack([np.log(excess / np.maximum(n, 1) + 1e-3) - np.log(1e-3), np.log1p(excess)], axis=1)
+
+
+def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
+    """Coefficients of a logistic regression, the constant last; by Newton's method."""
+    z = np.hstack([x, np.ones((len(x), 1))])
+    w = np.zeros(z.shape[1])
+    if len(y) == 0:
+        return np.array([1.0] * x.shape[1] + [-6.0])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+        step = np.linalg.solve(z.T @ (z * (p * (1 - p))[:, None]) + ridge * np.eye(len(w)), z.T @ (y - p) - ridge * w)
+        w = w + step
+        if np.abs(step).max() < 1e-8:
+            break
+    return w
+
+
+def _scored(model, weights: np.ndarray | None):
+    """Adds to each row its features, or its score if weights are given."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grams, contexts = model.value
+        for part in slices(batches, "text", SLICE):
+            words = Words(*pack(part.column(0)), PLAIN)
+            s = Expressions(words).scores(grams, contexts) if len(words.hash) else np.zeros(0)
+            x = pooled(s, words.first)
+            if weights is None:
+                yield pa.RecordBatch.from_arrays([part.column(1), pa.array(x[:, 0]), pa.array(x[:, 1])], names=["label", "x0", "x1"])
+            else:
+                p = 1 / (1 + np.exp(-np.clip(x @ weights[:-1] + weights[-1], -30, 30)))
+                yield pa.RecordBatch.from_arrays([part.column(1), pa.array(p)], names=["row", "score"])
+
+    return run
+
+
+def held_out(doc_id: Column) -> Column:
+    return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
+
+
+def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[Model, np.ndarray]:
+    """The model and the coefficients, learned from labelled rows that are not held out. Counts: all of them, and for backoff every document."""
+    spark = docs.sparkSession
+    ship(spark)
+    ws = Workspace(spark, "toxic")
+    known = labels.where("doc_id is not null and toxic is not null").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    part = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(15)) >= 12  # a fifth, for the coefficients
+    known = ws.save(known.select("doc_id", (F.when(F.col("toxic") == 1, 1).otherwise(0) + F.when(part, 2).otherwise(0)).cast("int").alias("label")), "labels")
+    few = known.count() <= BROADCAST_ROWS
+    texts = docs.select("doc_id", "text").join(F.broadcast(known) if few else known, "doc_id", "left")
+    rows = texts.select("text", F.coalesce("label", F.lit(-1)).alias("label")).mapInArrow(_count, _COUNTED)
+    rows = rows.groupBy("gram").agg(*[F.min(c).alias(c) for c in ("context", "less", "less_context")], *[F.sum(c).alias(c) for c in ("c0", "c1", "c2", "c3")])
+    table = rows.toArrow()  # at most SLOTS rows
+    gram, context, less, less_context, c0, c1, c2, c3 = (table.column(k).to_numpy() for k in range(8))
+    slots = gram, context, less, less_context
+    first = Model(*slots, c0, c1)
+    chosen = known.where("label >= 2").orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
+    mine = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "label")
+    got = mine.mapInArrow(_scored(spark.sparkContext.broadcast((first.grams, first.contexts)), None), "label int, x0 double, x1 double").toArrow()
+    x = np.stack([got.column(k).to_numpy() for k in (1, 2)], axis=1)
+    return Model(*slots, c0 + c2, c1 + c3), fit(x, got.column(0).to_numpy() - 2)
+
+
+def score(docs: DataFrame, model: Model, weights: np.ndarray, id_col: str = "doc_id") -> DataFrame:
+    """row (the id column) and score of every document: a narrow pass."""
+    tables = docs.sparkSession.sparkContext.broadcast((model.grams, model.contexts))
+    rows = docs.select("text", F.col(id_col).alias("row"))
+    kind = rows.schema["row"].dataType.simpleString()
+    return rows.mapInArrow(_scored(tables, weights), f"row {kind}, score double")
+
+
+def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, held_out, score, predicted."""
+    out = score(docs, *train(docs, labels))
+    return out.select(F.col("row").alias("doc_id"), held_out(F.col("row")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def clean(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The documents, with all their columns, that are not predicted toxic."""
+    model, weights = train(docs, labels)
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"), "text")
+    return score(whole, model, weights, "whole").where(F.col("score") < threshold).select("row.*")
