@@ -9,6 +9,7 @@ from webloom.llm import chat, mixing, warc
 from webloom.llm.decontaminate import contamination
 from webloom.llm.media import store_and_read
 from webloom.llm.near_dedup import near_duplicates
+from webloom.llm.substring import repeated_passages
 from webloom.llm.toxicity import toxicity
 
 
@@ -40,10 +41,14 @@ def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_docs(spark, sf_dir))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(_docs(spark, sf_dir))
+
+
 def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = chat.with_probe(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
     return chat.digests(chat.flatten(rows.select("conv_id", "turn", "role", chat.text_part(F.col("text")).alias("parts"))))
 
 
-QUERIES = {f.__name__: f for f in (op1_media_columns, op2_minhash_near_dedup, op3_warc_round_trip, op4_toxicity, op5_benchmark_decontamination, op8_source_mixing, op10_chat_formatting)}
+QUERIES = {f.__name__: f for f in (op1_media_columns, op2_minhash_near_dedup, op3_warc_round_trip, op4_toxicity, op5_benchmark_decontamination, op8_source_mixing, op9_substring_dedup, op10_chat_formatting)}
 ORACLE_SQL: dict[str, str] = {"op3_warc_round_trip": warc.WARC_SQL, "op8_source_mixing": mixing.MIX_SQL, "op10_chat_formatting": chat.CHAT_SQL}
