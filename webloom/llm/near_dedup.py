@@ -219,3 +219,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     out = sketch.select("doc_id", "n_shingles", "hi", "lo").join(where, ["hi", "lo"], "left")
     component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), (component == F.col("doc_id")).alias("kept"))
+
+
+def kept_documents(docs: DataFrame, percent: int = 85) -> DataFrame:
+    """The documents, with all their columns, that near_duplicates() keeps; of rows that repeat an id all stay or go. Rows with a null id stay."""
+    gone = near_duplicates(docs, percent).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
+    return docs.join(gone, docs["doc_id"].cast("long") == gone["__gone"], "left_anti")

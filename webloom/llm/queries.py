@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm import chat, mixing, warc
+from webloom.llm import chat, licenses, mixing, urls, warc
 from webloom.llm.decontaminate import contamination
 from webloom.llm.media import store_and_read
 from webloom.llm.near_dedup import near_duplicates
@@ -37,6 +37,14 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return contamination(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(licenses.as_files(_docs(spark, sf_dir)))
+
+
+def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.url_verdicts(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_docs(spark, sf_dir))
 
@@ -50,5 +58,5 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.flatten(rows.select("conv_id", "turn", "role", chat.text_part(F.col("text")).alias("parts"))))
 
 
-QUERIES = {f.__name__: f for f in (op1_media_columns, op2_minhash_near_dedup, op3_warc_round_trip, op4_toxicity, op5_benchmark_decontamination, op8_source_mixing, op9_substring_dedup, op10_chat_formatting)}
+QUERIES = {f.__name__: f for f in (op1_media_columns, op2_minhash_near_dedup, op3_warc_round_trip, op4_toxicity, op5_benchmark_decontamination, op6_license_scan, op7_url_filters, op8_source_mixing, op9_substring_dedup, op10_chat_formatting)}
 ORACLE_SQL: dict[str, str] = {"op3_warc_round_trip": warc.WARC_SQL, "op8_source_mixing": mixing.MIX_SQL, "op10_chat_formatting": chat.CHAT_SQL}
