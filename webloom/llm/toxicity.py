@@ -29,8 +29,8 @@ THRESHOLD = 0.7
 FIT_ROWS = 20_000
 BROADCAST_ROWS = 4_000_000  #: labels of 16 bytes; more of them are joined by a shuffle
 BLOCK_ROWS = 6_000_000  #: grams of 12 bytes that are broadcast at once
-HELD_ROWS = 1_000_000  #: distinct grams that a task holds before it passes them on
-SLICE = 4 << 20
+HELD_ROWS = 250_000  #: distinct grams that a task holds before it passes them on
+SLICE = 2 << 20
 
 
 class Expressions:
@@ -60,7 +60,7 @@ class Expressions:
 def _merged(pieces: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     keys, where = np.unique(np.concatenate([g for g, _ in pieces]), return_inverse=True)
     counts = np.concatenate([c for _, c in pieces], axis=1)
-    return keys, np.stack([np.bincount(where.reshape(-1), weights=c, minlength=len(keys)).astype(np.int64) if c.any() else np.zeros(len(keys), np.int64) for c in counts])
+    return keys, np.stack([np.bincount(where.reshape(-1), weights=c, minlength=len(keys)).astype(np.int32) if c.any() else np.zeros(len(keys), np.int32) for c in counts])
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -78,7 +78,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = Expressions(words)
         keys, where = np.unique(e.gram, return_inverse=True)
         label = np.repeat(np.asarray(part.column(1)), np.diff(words.first))  # -1: none; 0, 1; 2, 3 in the calibration part
-        counts = np.zeros((4, len(keys)), np.int64)
+        counts = np.zeros((4, len(keys)), np.int32)
         for k in range(4):
             mine = label == k
             if mine.any():
@@ -250,7 +250,7 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, block_ro
     known = ws.save(known.select("doc_id", (F.when(F.col("toxic") == 1, 1).otherwise(0) + F.when(part, 2).otherwise(0)).cast("int").alias("label")), "labels")
     few = known.count() <= BROADCAST_ROWS
     texts = docs.select("doc_id", "text").join(F.broadcast(known) if few else known, "doc_id", "left")
-    rows = texts.select("text", F.coalesce("label", F.lit(-1)).alias("label")).mapInArrow(_count, "gram long, c0 long, c1 long, c2 long, c3 long")
+    rows = texts.select("text", F.coalesce("label", F.lit(-1)).alias("label")).mapInArrow(_count, "gram long, c0 int, c1 int, c2 int, c3 int")
     counted = ws.save(rows.groupBy("gram").agg(*[F.sum(c).alias(c) for c in ("c0", "c1", "c2", "c3")]), "counted")
     tables = ratios(counted, ws)
     chosen = known.where("label >= 2").orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
