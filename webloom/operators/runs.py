@@ -85,7 +85,7 @@ def allocate(candidates: DataFrame, limit: int, global_limit: int | None = None,
                     break
         yield pd.DataFrame(out, columns=["scope_key", "run_id", "gateway", "claim_order"])
 
-    slim = c.select("wrapped", "scope_key", "priority", F.col("accepted_at").cast("double").alias("accepted_at"), "run_id", "gateway")
+    slim = c.select("wrapped", "scope_key", "priority", F.unix_micros(F.col("accepted_at").cast("timestamp")).alias("accepted_at"), "run_id", "gateway")
     return slim.coalesce(1).mapInPandas(greedy, kind)
 
 

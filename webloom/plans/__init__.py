@@ -1 +1,6 @@
-"""Part of webloom."""
+"""The library's queries by name, and SQL for those that SQL can express."""
+
+from webloom.plans import changes
+
+QUERIES = {**changes.QUERIES}
+ORACLE_SQL = {**changes.ORACLE_SQL}
