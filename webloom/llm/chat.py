@@ -49,7 +49,7 @@ def flatten(turns: DataFrame) -> DataFrame:
     line = Window.partitionBy("conv_id").orderBy("turn", "role", "order")
     earlier = line.rowsBetween(Window.unboundedPreceding, -1)
     t = t.withColumn("seen", F.coalesce(F.sum(F.size(F.filter("parts", _attached))).over(earlier), F.lit(0)))
-    name = lambda p, i: F.concat(F.lit("<"), escape(_kind(p)), F.lit("_"), (F.col("seen") + F.size(F.filter(F.slice("parts", F.lit(1), i), _attached))).cast("string"), F.lit(">"))
+    name = lambda p, i: F.concat(F.lit("<"), escape(_kind(p)), F.lit("_"), (F.col("seen") + F.size(F.filter(F.slice("parts", F.lit(1), i), _attached)) + 1).cast("string"), F.lit(">"))
     content = F.array_join(F.transform("parts", lambda p, i: F.when(_attached(p), name(p, i)).otherwise(escape(F.coalesce(p["text"], F.lit(""))))), "")
     spent = F.create_map(*[x for k, v in TOKENS.items() for x in (F.lit(k), F.lit(v))])
     record = lambda p, i: F.when(_attached(p), F.struct(name(p, i).alias("placeholder"), _kind(p).alias("type"), p["ref"].alias("ref"), (F.coalesce(p["units"], F.lit(1)) * F.coalesce(F.try_element_at(spent, p["type"]), F.lit(0))).cast("long").alias("tokens")))

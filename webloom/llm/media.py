@@ -209,8 +209,9 @@ class MediaArchiveReader(DataSourceReader):
                 out.append(ByteRange(path, start, end))
         return out
 
-    def read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
-        return read_range(partition.path, partition.start, partition.end)
+    def read(self, partition: ByteRange | None) -> Iterator[pa.RecordBatch]:
+        """Spark reads None where nothing was planned."""
+        return iter(()) if partition is None else read_range(partition.path, partition.start, partition.end)
 
 
 class MediaArchive(DataSource):
