@@ -9,6 +9,7 @@ from collections import deque
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 # Keys of JSON objects that hold URLs, conventional sitemap paths.
 JSON_KEYS = ("url", "href", "link", "uri", "permalink", "next", "target")
@@ -16,7 +17,7 @@ SITEMAP_PATHS = ("/sitemap.xml", "/sitemap_index.xml", "/sitemap-index.xml", "/w
 DEPTH = 3
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def unzipped(body: pd.Series) -> pd.Series:
     """A body as text; gzip is undone. Null where it can't be."""
 
@@ -60,7 +61,7 @@ def feed_urls(xml: Column) -> Column:
     return F.array_distinct(F.filter(F.transform(F.concat(texts, refs), lambda x: F.trim(x)), lambda x: x != ""))
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def json_urls(body: pd.Series) -> pd.Series:
     """Strings under JSON_KEYS, or under lists below them, breadth first, each once; none if it is no JSON."""
 
