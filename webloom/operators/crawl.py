@@ -134,7 +134,7 @@ def collect_site(spark: SparkSession, seeds: list[str], responses: DataFrame, sc
         out = ok.select("canonical_url", "wire", "depth", "seq", F.posexplode("facts.links").alias("at", "link"))
         out = out.select(F.col("link.url").alias("raw"), "wire", F.col("link.source").alias("source"), (F.col("depth") + 1).alias("depth"), (F.col("seq") + F.col("at")).alias("seq"))
         moved = got.where("status between 300 and 399 and redirect_to is not null").select(F.col("redirect_to").alias("raw"), "wire", F.lit("html_link").alias("source"), "depth", "seq")
-        out = out.unionByName(moved).withColumn("url", urls.canonical_link("raw", "wire"))
+        out = out.unionByName(moved).withColumn("url", urls.wire_link("raw", "wire"))
         out = ws.save(decided(out.withColumn("url", F.when(F.col("url") == "", F.col("raw")).otherwise(F.col("url")))).withColumn("priority", frontier_priority(F.col("source"), F.col("url"))), f"links{turn}")
         observed.append(out.where("reason is null").select("canonical_url", "url", "source", "depth", F.col("priority").cast("int").alias("priority"), "seq"))
         refused.append(out.where("reason is not null").select("canonical_url", "url", "source", "reason"))
