@@ -11,6 +11,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 PACKAGE = Path(__file__).resolve().parent
+BATCH_CONF, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2000
 _shipped: set[str] = set()
 
 
@@ -35,7 +36,9 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, **conf: str) ->
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors, once for each application."""
+    """Sends this package to the executors, once for each application, and keeps Arrow batches small: rows hold whole texts, and both ends of the pipe hold a batch. A batch size that was set by hand stays."""
+    if spark.conf.get(BATCH_CONF) == "10000":
+        spark.conf.set(BATCH_CONF, str(BATCH_ROWS))
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
