@@ -99,7 +99,7 @@ def test_types(spark):
     rows = [(k, u, f"<html><title>{t}</title><body>{b}</body></html>") for k, (u, t, b, _) in enumerate(TYPES)]
     f = pages.facts(spark.createDataFrame(rows, "page_id long, url string, html string"))
     got = {r.page_id: r.page_type for r in pages.classify(f, routes=(("/special", "research", "s"),)).collect()}
-    assert {TYPES[k][:2]: v for k, v in got.items()} == {t[:2]: TYPES[k][3] for k, t in enumerate(TYPES)} or [(TYPES[k], v) for k, v in sorted(got.items()) if v != TYPES[k][3]] == []
+    assert [(TYPES[k], v) for k, v in sorted(got.items()) if v != TYPES[k][3]] == []
 
 
 def site(spark):
