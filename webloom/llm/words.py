@@ -12,7 +12,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U = np.uint64
-BLOCK = 1 << 20  #: bytes hashed at once; bounds memory for very long texts
+BLOCK = 1 << 18  #: bytes hashed at once; bounds memory, for very long texts too
 _rng = np.random.Generator(np.random.PCG64(20240607))
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
 _BASE = 0x9E3779B97F4A7C15 | 5
