@@ -1,7 +1,9 @@
 from tests.llm import brute
+from webloom.llm import near_dedup
 from webloom.llm.near_dedup import estimate, kept_documents, near_duplicates, registers
 
 import numpy as np
+import pytest
 
 
 def check(spark, rows):
@@ -10,8 +12,8 @@ def check(spark, rows):
     assert got == brute.near(rows)
 
 
-def test_whole_table(spark, sf):
-    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+def test_whole_table(spark):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
     check(spark, rows)
 
 
@@ -33,6 +35,31 @@ def test_large_group_of_near_copies(spark):
     check(spark, rows)
 
 
+@pytest.mark.parametrize("pivots", [4, 10_000])
+def test_chains_of_near_copies(spark, monkeypatch, pivots):
+    """Texts that differ step by step, so that ends of a chain are not alike, and texts that share much and not enough; with rounds and without."""
+    monkeypatch.setattr(near_dedup, "PIVOTS", pivots)
+    rng = np.random.default_rng(6)
+    rows = []
+    for g in range(6):
+        w = [f"g{g}w{i}" for i in range(120)]
+        for k in range(14):
+            rows.append((100 * g + k, " ".join(w)))
+            at = int(rng.integers(110))
+            w[at : at + (1 if g < 3 else 3 if k % 3 else 12)] = [f"n{g}x{k}"]
+    rows += [(900 + k, " ".join(f"c{i}" for i in range(60)) + f" only{k} " + " ".join(f"o{k}x{i}" for i in range(11 + k % 4))) for k in range(20)]
+    check(spark, rows)
+
+
+def test_rows_that_share_an_id(spark):
+    base = " ".join(f"w{i}" for i in range(60))
+    other = " ".join(f"v{i}" for i in range(60))
+    df = spark.createDataFrame([(1, base, "a"), (5, base, "b"), (5, other, "c"), (7, other, "d"), (5, None, "e"), (5, base, "f")], "doc_id long, text string, hash string")
+    got = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_duplicates(df).collect())
+    assert got == [(1, 56, 1, True), (5, 0, 5, True), (5, 56, 1, False), (5, 56, 1, False), (5, 56, 5, True), (7, 56, 5, False)]
+    assert sorted(r["hash"] for r in kept_documents(df).collect()) == ["a", "c", "e"]
+
+
 def test_rows_and_columns(spark):
     df = spark.createDataFrame([(1, "a b c d e f", "x"), (1, "a b c d e f", "y"), (None, "a b c d e f", "z"), (2, "a b c d e f", "w")], "doc_id long, text string, key string")
     out = near_duplicates(df)

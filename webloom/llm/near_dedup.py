@@ -2,9 +2,9 @@
 
 A text becomes its set of 5-word shingles. Each of REGISTERS hash functions keeps the smallest value over the set, compressed to a register of a leading-zero count and mantissa bits. Bands of registers propose pairs; the share of equal registers, corrected for chance collisions of compressed registers, estimates the Jaccard similarity and drops hopeless pairs; the rest are confirmed on the full sets.
 
-No bucket is ever expanded into all pairs. Texts with equal sets are one class. In each bucket members meet pivots (its smallest members), links fold into components, and only buckets that still hold several components go on, with new pivots, until every pair of different components has been compared or the bucket is one component. Before those rounds a document leaves if so many of its shingles stand in no other document of its buckets that no link can reach it, and a pair is not proposed if its two counts of such shingles rule it out; and if their parity bits differ in more places than similar sets can; these bounds are exact. So the work is linear where a bucket is one large group of copies, and still exhaustive where it is not.
+Texts with equal sets are one class, and classes are what is compared. In each bucket members meet the smallest one, and links fold into components, so a large group of copies costs a row for each member. What is left are buckets of several components. Their classes are joined on single shingles: the shingles of a set are ordered by how many of these sets hold them, rare ones first, and two sets as similar as asked share one among the first n - ceil(percent * n / 100) + 1 of each (prefix filter; exact for every pair, whether its registers share a bucket or not). A shared shingle proposes a pair only if components differ and sizes and places leave room for the overlap that the threshold needs. Shingles that more than PIVOTS classes hold go in rounds of pivots, until every pair of different components has been compared.
 
-Nulls, empty and white-space texts have an empty set and link with nothing. Repeated rows are copies of each other; rows that repeat a doc_id stay, one result row each; a null doc_id keeps its row, with a null component. Other columns are ignored. An empty table gives an empty result.
+Nulls, empty and white-space texts have an empty set and link with nothing. Repeated rows are copies of each other. Rows that share a doc_id but not a text are documents of their own: each row's set decides its row, and a component is named by the smallest doc_id of its rows. A null doc_id keeps its row, with a null component. Other columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from webloom.llm.components import components
@@ -26,8 +26,7 @@ ROWS = 5  #: registers in a band; a pair of similarity .85 shares none of 24 ban
 BANDS = REGISTERS // ROWS
 MANTISSA = 10
 MARGIN = 0.165  #: five standard errors of the estimate at .85 with 120 registers
-PARITY, PARITY_BITS = 16, 10
-PIVOTS = 1024  #: pivots of a bucket in a round after the first
+PIVOTS = 128  #: pivots of a shingle in a round
 
 _A = np.random.Generator(np.random.PCG64(11)).integers(1, 2**63, REGISTERS, dtype=np.uint64) * U(2) + U(1)
 _B = np.random.Generator(np.random.PCG64(12)).integers(0, 2**63, REGISTERS, dtype=np.uint64)
@@ -54,38 +53,24 @@ def registers(shingles: np.ndarray) -> np.ndarray:
     return ((zeros.astype(np.uint16) << np.uint16(MANTISSA)) | mantissa.astype(np.uint16)).astype("<u2")
 
 
-def parity(shingles: np.ndarray) -> np.ndarray:
-    """Bits that say of each of 64 * PARITY cells whether an odd number of shingles falls in it: two sets differ in at least as many shingles as their bits differ in."""
-    cell = (mix(shingles ^ U(0xA5A5A5A5A5A5A5A5)) >> U(64 - PARITY_BITS)).astype(np.int64)
-    return np.packbits((np.bincount(cell, minlength=64 * PARITY) & 1).astype(np.uint8)).view("<i8")
-
-
 def estimate(x: np.ndarray, y: np.ndarray) -> float:
     """Jaccard similarity from two register arrays. Unrelated registers agree by chance with probability c (equal exponents 2^-i each, equal mantissas 2^-MANTISSA), so the share s of equal ones is corrected to (s - c) / (1 - c)."""
     c = 2.0**-MANTISSA / 3
     return max(0.0, (float((x == y).mean()) - c) / (1 - c))
 
 
-def _sketches(id_col: str, text_col: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, text_col):
-            names = part.schema.names
-            words = Words(*pack(part.column(names.index(text_col))), SPACED)
-            n, hi, lo, regs, bits = [], [], [], [], []
-            for i in range(part.num_rows):
-                s = shingle_set(words.hash[words.first[i] : words.first[i + 1]])
-                n.append(len(s))
-                hi.append(int(signed(mix(s).sum(keepdims=True))[0]) if len(s) else 0)
-                lo.append(int(signed(mix(s * U(0xD6E8FEB86659FD93)).sum(keepdims=True))[0]) if len(s) else 0)
-                r = registers(s) if len(s) else np.zeros(0, "<u2")
-                regs.append(r.tobytes())
-                bits.append(parity(s))
-            yield pa.RecordBatch.from_arrays(
-                [part.column(names.index(id_col)), pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(regs, pa.binary()), pa.ListArray.from_arrays(np.arange(0, PARITY * len(n) + 1, PARITY, dtype=np.int32), np.concatenate(bits))],
-                names=["doc_id", "n_shingles", "hi", "lo", "regs", "parity"],
-            )
-
-    return run
+def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Size, two hashes and registers of each text's set. Rows are (doc_id, hash, text)."""
+    for part in slices(batches, "text"):
+        words = Words(*pack(part.column(2)), SPACED)
+        n, hi, lo, regs = [], [], [], []
+        for i in range(part.num_rows):
+            s = shingle_set(words.hash[words.first[i] : words.first[i + 1]])
+            n.append(len(s))
+            hi.append(int(signed(mix(s).sum(keepdims=True))[0]) if len(s) else 0)
+            lo.append(int(signed(mix(s * U(0xD6E8FEB86659FD93)).sum(keepdims=True))[0]) if len(s) else 0)
+            regs.append(registers(s).tobytes() if len(s) else b"")
+        yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(regs, pa.binary())], names=["doc_id", "hash", "n_shingles", "hi", "lo", "regs"])
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,7 +79,7 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = np.asarray(batch.column(0))
         r = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u2").reshape(len(ids), BANDS, ROWS).astype(U)
         key = mix((r * _MINE).sum(axis=2) + np.arange(1, BANDS + 1, dtype=U) * U(0x9E3779B97F4A7C15))
-        yield pa.RecordBatch.from_arrays([pa.array(signed(key.reshape(-1)).copy()), pa.array(np.repeat(ids, BANDS))], names=["key", "doc_id"])
+        yield pa.RecordBatch.from_arrays([pa.array(signed(key.reshape(-1)).copy()), pa.array(np.repeat(ids, BANDS))], names=["key", "node"])
 
 
 def _hopeful(threshold: float):
@@ -138,90 +123,97 @@ def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in slices(batches, "text"):
         words = Words(*pack(part.column(1)), SPACED)
         sets = [shingle_set(words.hash[words.first[i] : words.first[i + 1]]) for i in range(part.num_rows)]
-        ids = np.repeat(np.asarray(part.column(0)), [len(x) for x in sets])
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(signed(np.concatenate(sets)))], names=["doc_id", "shingle"])
+        n = [len(x) for x in sets]
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.asarray(part.column(0)), n), pa.int64()), pa.array(signed(np.concatenate(sets))), pa.array(np.repeat(n, n), pa.int64())], names=["node", "shingle", "n"])
 
 
 def _several(members: DataFrame) -> DataFrame:
-    """Keys and sizes of the buckets that hold several components."""
+    """Keys and sizes of the groups that hold several components."""
     return members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo != hi").select("key", "size")
 
 
 def _links(pairs: DataFrame, regs: DataFrame, some: DataFrame, percent: int, ws: Workspace, turn: int) -> DataFrame:
-    """Proposed pairs (doc_id, b) that the estimate lets pass and the full sets confirm."""
-    pairs = pairs.select(F.greatest("doc_id", "b").alias("a"), F.least("doc_id", "b").alias("b")).distinct()
-    pairs = pairs.join(regs.select(F.col("doc_id").alias("a"), F.col("regs").alias("ra")), "a").join(regs.select(F.col("doc_id").alias("b"), F.col("regs").alias("rb")), "b")
+    """Proposed pairs (node, b) that the estimate lets pass and the full sets confirm."""
+    pairs = pairs.select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).distinct()
+    pairs = pairs.join(regs.select(F.col("node").alias("a"), F.col("regs").alias("ra")), "a").join(regs.select(F.col("node").alias("b"), F.col("regs").alias("rb")), "b")
     pairs = ws.save(pairs.select("a", "b", "ra", "rb").mapInArrow(_hopeful(percent / 100 - MARGIN), "a long, b long"), f"pairs{turn}")
-    full = pairs.join(some.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(some.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+    full = pairs.join(some.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(some.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
     return ws.save(full.select("a", "b", "text_a", "text_b").mapInArrow(_confirmed(percent), "a long, b long"), f"links{turn}")
 
 
-def _place(classes: DataFrame, links: DataFrame, ws: Workspace, turn: int) -> DataFrame:
+def _place(nodes: DataFrame, links: DataFrame, ws: Workspace, turn: int) -> DataFrame:
     """id, component of every class."""
     named = components(links, ws, f"cc{turn}")
-    return ws.save(classes.select(F.col("rep").alias("id")).join(named, "id", "left").select("id", F.coalesce("component", "id").alias("component")), f"placed{turn}")
+    return ws.save(nodes.select(F.col("node").alias("id")).join(named, "id", "left").select("id", F.coalesce("component", "id").alias("component")), f"placed{turn}")
+
+
+def _prefixes(shingles: DataFrame, percent: int, ws: Workspace) -> DataFrame:
+    """key (a shingle that several sets hold), node, n and at: its place among its set's, rare ones first; the places that the prefix filter needs."""
+    held = ws.save(shingles.groupBy("shingle").agg(F.count("*").alias("holders")).where("holders > 1"), "held")
+    rows = shingles.join(held, "shingle", "left").withColumn("at", F.row_number().over(Window.partitionBy("node").orderBy(F.coalesce("holders", F.lit(1)), "shingle")) - 1)
+    return rows.where(f"at <= n - ceil({percent} * n / 100) and holders is not null").select(F.col("shingle").alias("key"), "node", "n", "at")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept: documents are linked if 100 * |A and B| >= percent * |A or B|, and component_id is the smallest id reachable through links."""
+    return _rows(docs, percent, id_col, text_col).drop("hash")
+
+
+def _rows(docs: DataFrame, percent: int, id_col: str, text_col: str) -> DataFrame:
     spark = docs.sparkSession
     ship(spark)
     ws = Workspace(spark, "near")
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sketch = ws.save(texts.mapInArrow(_sketches("doc_id", "text"), "doc_id long, n_shingles long, hi long, lo long, regs binary, parity array<long>"), "sketch")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("hash"), F.col(text_col).cast("string").alias("text"))
+    sketch = ws.save(texts.mapInArrow(_sketches, "doc_id long, hash long, n_shingles long, hi long, lo long, regs binary"), "sketch")
     filled = sketch.where("n_shingles > 0 and doc_id is not null")
-    classes = ws.save(filled.groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.first("regs").alias("regs")), "classes")
-    regs = classes.select(F.col("rep").alias("doc_id"), "regs")
-    members = regs.mapInArrow(_bands, "key long, doc_id long")
-    keys = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    members = ws.save(members.join(keys, "key"), "members0")
-    # the texts of documents that share a bucket, once, by the same plan at every size
-    wanted = members.select("doc_id").distinct().hint("shuffle_merge")
-    some = ws.save(texts.join(wanted, "doc_id").groupBy("doc_id").agg(F.first("text").alias("text")), "some")
-    pivots = ws.save(members.groupBy("key").agg(F.min("doc_id").alias("b")), "pivots0")
-    pairs = members.join(pivots, "key").where("doc_id != b")
-    found = _links(pairs, regs, some, percent, ws, 0)
+    # a class is named by its first hash: its smallest doc_id may name another class too
+    classes = ws.save(filled.groupBy("hi", "lo").agg(F.min(F.struct("doc_id", "hash")).alias("rep"), F.first("regs").alias("regs")).select(F.col("hi").alias("node"), "rep.doc_id", "rep.hash", "regs"), "classes")
+    regs = classes.select("node", "regs")
+    banded = regs.mapInArrow(_bands, "key long, node long")
+    pivots = ws.save(banded.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("b")).where("size > 1").select("key", "b"), "pivots0")
+    members = ws.save(banded.join(pivots, "key"), "members0")
+    # the texts of classes that share a bucket, once, by the same plan at every size
+    wanted = classes.select("node", "doc_id", "hash").join(members.select("node").distinct(), "node").hint("shuffle_merge")
+    some = ws.save(texts.join(wanted, ["doc_id", "hash"]).groupBy("node").agg(F.first("text").alias("text")), "some")
+    found = _links(members.where("node != b"), regs, some, percent, ws, 0)
     placed = _place(classes, found, ws, 0)
     stars = placed
-    # what remains: in buckets of several components, members that were no pivots
-    named = members.join(placed.withColumnRenamed("id", "doc_id"), "doc_id")
-    several = ws.save(named.join(_several(named).select("key"), "key"), "several")
-    alone = several.select("doc_id").distinct().hint("shuffle_merge")
-    own = some.join(alone, "doc_id").mapInArrow(_shingles, "doc_id long, shingle long")
-    own = own.groupBy("shingle").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id")).where("n = 1").groupBy("doc_id").agg(F.count("*").alias("u"))
-    # u: shingles that no document it could be linked with has; enough of them rule out any link
-    own = sketch.select("doc_id", F.col("n_shingles").alias("n"), "parity").join(several.select("doc_id").distinct(), "doc_id").join(own, "doc_id", "left")
-    own = own.groupBy("doc_id").agg(F.first("n").alias("n"), F.coalesce(F.first("u"), F.lit(0)).alias("u"), F.first("parity").alias("parity"))
-    own = ws.save(own.where(f"100 * (n - u) >= {percent} * n"), "own")
-    members = several.join(pivots.select("key", F.col("b").alias("doc_id"), F.lit(True).alias("done")), ["key", "doc_id"], "left").where("done is null").select("key", "doc_id", "component").join(own, "doc_id")
-    members = ws.save(members.join(_several(members), "key"), "members1")
-    ws.drop("members0", "several", "pivots0")
+    # classes in buckets of several components
+    named = ws.save(members.join(placed.withColumnRenamed("id", "node"), "node").select("key", "node", "component"), "named")
+    several = ws.save(_several(named).select("key"), "several")
+    left = named.join(several, "key").select("node").distinct().hint("shuffle_merge")
+    shingles = ws.save(some.join(left, "node").select("node", "text").mapInArrow(_shingles, "node long, shingle long, n long"), "shingles")
+    members = ws.save(_prefixes(shingles, percent, ws), "prefixes")
+    ws.drop("members0", "pivots0", "named", "several", "shingles", "held")
     turn = 1
-    while not members.isEmpty():
-        salt = F.when(F.col("size") <= PIVOTS, F.col("doc_id")).otherwise(F.pmod(F.xxhash64("doc_id"), F.lit(PIVOTS)))
-        pivots = members.groupBy("key", salt.alias("salt")).agg(F.min("doc_id").alias("b")).select("key", "b")
-        pivots = members.join(pivots.withColumnRenamed("b", "doc_id"), ["key", "doc_id"])
-        pivots = ws.save(pivots.select("key", F.col("doc_id").alias("b"), F.col("component").alias("component_b"), F.col("n").alias("n_b"), F.col("u").alias("u_b"), F.col("parity").alias("parity_b")), f"pivots{turn}")
-        differ = " + ".join(f"bit_count(parity[{k}] ^ parity_b[{k}])" for k in range(PARITY))
-        able = f"(doc_id > b or size > {PIVOTS}) and component != component_b and 100 * (n - u) >= {percent} * (n + u_b) and 100 * (n_b - u_b) >= {percent} * (n_b + u) and {100 + percent} * ({differ}) <= {100 - percent} * (n + n_b)"
-        pairs = members.join(pivots, "key").where(able)
-        found = _links(pairs, regs, some, percent, ws, turn)
+    while True:
+        members = ws.save(members.join(placed.withColumnRenamed("id", "node"), "node"), f"members{turn}")
+        sizes = ws.save(_several(members), f"sizes{turn}")
+        members = members.join(sizes, "key")
+        if sizes.isEmpty():
+            break
+        salt = F.when(F.col("size") <= PIVOTS, F.col("node")).otherwise(F.pmod(F.xxhash64("node"), F.lit(PIVOTS)))
+        first = members.groupBy("key", salt.alias("salt")).agg(F.min(F.struct("node", "component", "n", "at")).alias("p"))
+        pivots = ws.save(first.select("key", F.col("p.node").alias("b"), F.col("p.component").alias("component_b"), F.col("p.n").alias("n_b"), F.col("p.at").alias("at_b")), f"pivots{turn}")
+        room = f"{100 + percent} * least(n - at, n_b - at_b) >= {percent} * (n + n_b)"  # what both have left is enough
+        able = f"(node > b or size > {PIVOTS}) and component != component_b and 100 * least(n, n_b) >= {percent} * greatest(n, n_b) and {room}"
+        found = _links(members.join(pivots, "key").where(able), regs, some, percent, ws, turn)
         if not found.isEmpty():
             placed = stars = _place(classes, found.union(stars.select(F.col("id").alias("a"), F.col("component").alias("b"))), ws, turn)
-        rest = members.join(pivots.select("key", F.col("b").alias("doc_id"), F.lit(True).alias("done")), ["key", "doc_id"], "left").where("done is null").drop("done", "component", "size")
-        rest = rest.join(placed.withColumnRenamed("id", "doc_id"), "doc_id")
-        rest = ws.save(rest.join(_several(rest), "key"), f"members{turn + 1}")
-        ws.drop(f"members{turn}", f"pivots{turn}")
-        members = rest
+        met = pivots.select("key", F.col("b").alias("node"), F.lit(True).alias("met"))
+        members = ws.save(members.where(f"size > {PIVOTS}").join(met, ["key", "node"], "left").where("met is null").select("key", "node", "n", "at"), f"rest{turn}")
+        ws.drop(f"members{turn}", f"sizes{turn}", f"pivots{turn}", f"rest{turn - 1}", "prefixes")
         turn += 1
-    final = placed.withColumnRenamed("id", "rep")
-    where = classes.select("hi", "lo", "rep").join(final, "rep").select("hi", "lo", "component")
-    out = sketch.select("doc_id", "n_shingles", "hi", "lo").join(where, ["hi", "lo"], "left")
-    component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), (component == F.col("doc_id")).alias("kept"))
+    named = classes.select("node", "doc_id").join(placed.withColumnRenamed("id", "node"), "node")
+    smallest = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    final = ws.save(named.join(smallest, "component").select(F.col("node").alias("hi"), "component_id"), "final")
+    has = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
+    alone = sketch.where(~has).select("doc_id", "hash", "n_shingles", F.col("doc_id").alias("component_id"))
+    out = sketch.where(has).join(final, "hi").select("doc_id", "hash", "n_shingles", "component_id").unionByName(alone)
+    return out.withColumn("kept", F.col("component_id") == F.col("doc_id"))
 
 
 def kept_documents(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """The documents, with all their columns, that near_duplicates() keeps; of rows that repeat an id all stay or go. Rows with a null id stay."""
-    gone = near_duplicates(docs, percent).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["__gone"], "left_anti")
+    """The documents, with all their columns, that near_duplicates() keeps; of rows that repeat id and text all stay or go. Rows with a null id stay."""
+    gone = _rows(docs, percent, "doc_id", "text").where("not kept").select(F.col("doc_id").alias("__gone"), F.col("hash").alias("__hash")).distinct()
+    return docs.join(gone, (docs["doc_id"].cast("long") == gone["__gone"]) & (F.xxhash64(docs["text"].cast("string")) == gone["__hash"]), "left_anti")
