@@ -2,7 +2,7 @@
 
 A text becomes its set of 5-word shingles. Each of REGISTERS hash functions keeps the smallest value over the set, compressed to a register of a leading-zero count and mantissa bits. Bands of registers propose pairs; the share of equal registers, corrected for chance collisions of compressed registers, estimates the Jaccard similarity and drops hopeless pairs; the rest are confirmed on the full sets.
 
-Texts with equal sets are one class, and classes are what is compared. In each bucket members meet the smallest one, and links fold into components, so a large group of copies costs a row for each member. What is left are buckets of several components. Their classes are joined on single shingles: the shingles of a set are ordered by how many of these sets hold them, rare ones first, and two sets as similar as asked share one among the first n - ceil(percent * n / 100) + 1 of each (prefix filter; exact for every pair, whether its registers share a bucket or not). A shared shingle proposes a pair only if components differ and sizes and places leave room for the overlap that the threshold needs. Shingles that more than PIVOTS classes hold go in rounds of pivots, until every pair of different components has been compared.
+Texts with equal sets are one class, and classes are what is compared. In each bucket members meet the smallest one, and links fold into components, so a large group of copies costs a row for each member. What is left are buckets of several components. Their classes are joined on single shingles: the shingles of a set are ordered by how many of these sets hold them, rare ones first, and two sets as similar as asked share one among the first n - ceil(percent * n / 100) + 1 of the larger one and the first n - ceil(2 * percent * n / (100 + percent)) + 1 of the smaller one (prefix filter; exact for every pair, whether its registers share a bucket or not). A shared shingle proposes a pair only if components differ and sizes and places leave room for the overlap that the threshold needs. Shingles that more than PIVOTS classes hold go in rounds of more and more pivots, until every pair of different components has been compared.
 
 Nulls, empty and white-space texts have an empty set and link with nothing. Repeated rows are copies of each other. Rows that share a doc_id but not a text are documents of their own: each row's set decides its row, and a component is named by the smallest doc_id of its rows. A null doc_id keeps its row, with a null component. Other columns are ignored. An empty table gives an empty result.
 """
@@ -26,7 +26,7 @@ ROWS = 5  #: registers in a band; a pair of similarity .85 shares none of 24 ban
 BANDS = REGISTERS // ROWS
 MANTISSA = 10
 MARGIN = 0.165  #: five standard errors of the estimate at .85 with 120 registers
-PIVOTS = 128  #: pivots of a shingle in a round
+PIVOTS = 64  #: pivots of a shingle in the first round; later ones take 16 times as many, since what has folded by then is not compared
 
 _A = np.random.Generator(np.random.PCG64(11)).integers(1, 2**63, REGISTERS, dtype=np.uint64) * U(2) + U(1)
 _B = np.random.Generator(np.random.PCG64(12)).integers(0, 2**63, REGISTERS, dtype=np.uint64)
@@ -128,8 +128,9 @@ def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _several(members: DataFrame) -> DataFrame:
-    """Keys and sizes of the groups that hold several components."""
-    return members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo != hi").select("key", "size")
+    """Keys of the groups that hold several components, and how many of their members may be the smaller one of a pair."""
+    small = F.count_if("small") if "small" in members.columns else F.count("*")
+    return members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), small.alias("size")).where("lo != hi and size > 0").select("key", "size")
 
 
 def _links(pairs: DataFrame, regs: DataFrame, some: DataFrame, percent: int, ws: Workspace, turn: int) -> DataFrame:
@@ -148,10 +149,10 @@ def _place(nodes: DataFrame, links: DataFrame, ws: Workspace, turn: int) -> Data
 
 
 def _prefixes(shingles: DataFrame, percent: int, ws: Workspace) -> DataFrame:
-    """key (a shingle that several sets hold), node, n and at: its place among its set's, rare ones first; the places that the prefix filter needs."""
+    """key (a shingle that several sets hold), node, n and at: its place among its set's, rare ones first; the places that the prefix filter needs of the larger set, small: of the smaller one."""
     held = ws.save(shingles.groupBy("shingle").agg(F.count("*").alias("holders")).where("holders > 1"), "held")
     rows = shingles.join(held, "shingle", "left").withColumn("at", F.row_number().over(Window.partitionBy("node").orderBy(F.coalesce("holders", F.lit(1)), "shingle")) - 1)
-    return rows.where(f"at <= n - ceil({percent} * n / 100) and holders is not null").select(F.col("shingle").alias("key"), "node", "n", "at")
+    return rows.where(f"at <= n - ceil({percent} * n / 100) and holders is not null").select(F.col("shingle").alias("key"), "node", "n", "at", F.expr(f"at <= n - ceil({2 * percent} * n / {100 + percent})").alias("small"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -192,16 +193,17 @@ def _rows(docs: DataFrame, percent: int, id_col: str, text_col: str) -> DataFram
         members = members.join(sizes, "key")
         if sizes.isEmpty():
             break
-        salt = F.when(F.col("size") <= PIVOTS, F.col("node")).otherwise(F.pmod(F.xxhash64("node"), F.lit(PIVOTS)))
-        first = members.groupBy("key", salt.alias("salt")).agg(F.min(F.struct("node", "component", "n", "at")).alias("p"))
+        most = PIVOTS * 16 ** (turn - 1)
+        salt = F.when(F.col("size") <= most, F.col("node")).otherwise(F.pmod(F.xxhash64("node"), F.lit(most)))
+        first = members.where("small").groupBy("key", salt.alias("salt")).agg(F.min(F.struct("node", "component", "n", "at")).alias("p"))
         pivots = ws.save(first.select("key", F.col("p.node").alias("b"), F.col("p.component").alias("component_b"), F.col("p.n").alias("n_b"), F.col("p.at").alias("at_b")), f"pivots{turn}")
         room = f"{100 + percent} * least(n - at, n_b - at_b) >= {percent} * (n + n_b)"  # what both have left is enough
-        able = f"(node > b or size > {PIVOTS}) and component != component_b and 100 * least(n, n_b) >= {percent} * greatest(n, n_b) and {room}"
+        able = f"(small and (node > b or size > {most}) or not small and n >= n_b) and component != component_b and 100 * least(n, n_b) >= {percent} * greatest(n, n_b) and {room}"
         found = _links(members.join(pivots, "key").where(able), regs, some, percent, ws, turn)
         if not found.isEmpty():
             placed = stars = _place(classes, found.union(stars.select(F.col("id").alias("a"), F.col("component").alias("b"))), ws, turn)
         met = pivots.select("key", F.col("b").alias("node"), F.lit(True).alias("met"))
-        members = ws.save(members.where(f"size > {PIVOTS}").join(met, ["key", "node"], "left").where("met is null").select("key", "node", "n", "at"), f"rest{turn}")
+        members = ws.save(members.where(f"size > {most}").join(met, ["key", "node"], "left").where("met is null").select("key", "node", "n", "at", "small"), f"rest{turn}")
         ws.drop(f"members{turn}", f"sizes{turn}", f"pivots{turn}", f"rest{turn - 1}", "prefixes")
         turn += 1
     named = classes.select("node", "doc_id").join(placed.withColumnRenamed("id", "node"), "node")
