@@ -64,3 +64,24 @@ def test_salvage(tmp_path):
     with p.open("rb") as f:
         s = warc.Salvage(f)
         assert len(list(s)) == 5 and len(s.gaps) == 1
+
+
+def test_addresses_come_back(spark):
+    uris = ['http://a/é?q="x"\\y', "http://a/\r\nWARC/1.1", " http://a ", "", "http://a/%0A"]
+    pages = spark.createDataFrame([(k, u, f"page {k}", "x", 1) for k, u in enumerate(uris)], "page_id long, url string, html string, digest string, size int")
+    manifest = warc.write_warcs(pages, Workspace(spark, "test"))
+    got = {r.page_id: (r.target_uri, bytes(r.payload)) for r in warc.read_warcs(manifest).collect()}
+    assert got == {k: (u, f"page {k}".encode()) for k, u in enumerate(uris)}
+
+
+def test_revisits_name_their_record(spark):
+    html = "z" * 3_000_000
+    manifest = warc.write_warcs(spark.createDataFrame([(1, "u", html), (2, "u", html)], "page_id long, url string, html string"), Workspace(spark, "test"))
+    ids, refers = {}, None
+    for path in [r.archive for r in manifest.collect()]:
+        files, at = pafs.FileSystem.from_uri(path)
+        with files.open_input_stream(at, compression=None) as f:
+            for _, head, payload in warc.Salvage(f):
+                ids[head["warc-record-id"]] = len(payload)
+                refers = head.get("warc-refers-to", refers)
+    assert ids[refers] == 3_000_000 and len(ids) == 2

@@ -25,19 +25,34 @@ from webloom.session import Workspace, ship
 MIN_REVISIT = 100
 ROLL = 64 << 20  #: an archive is closed beyond so many bytes
 READ = 1 << 20
-LARGEST = 1 << 30  #: a content length beyond this is taken for damage
+LARGEST = (1 << 31) + (1 << 20)  #: a content length beyond this is taken for damage: no value of a table can be as long
 GZIP, VERSION = b"\x1f\x8b\x08", b"WARC/1."
 DATE = "2024-01-01T00:00:00Z"
 
 
+def _record_id(page_id: int | None, digest: str) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, f'{page_id}:{digest}')}>"
+
+
+def _uri(url: str) -> list[str]:
+    """Header lines of a URL: as it is, or as a JSON string where it could not be read back from a line."""
+    plain = url == url.strip() and all(ord(c) > 31 and ord(c) != 127 and not 0xD800 <= ord(c) < 0xE000 for c in url)
+    return [f"WARC-Target-URI: {url}"] if plain else [f"WARC-Target-URI: {json.dumps(url)[1:-1]}", "X-Target-URI-Escapes: json"]
+
+
+def target_uri(head: dict) -> str | None:
+    uri = head.get("warc-target-uri")
+    return json.loads(f'"{uri}"') if uri is not None and head.get("x-target-uri-escapes") == "json" else uri
+
+
 def record(page_id: int | None, url: str, payload: bytes, digest: str, refers_to: int | None) -> bytes:
     """One compressed record. A revisit holds no payload; X-Payload-Length keeps the full one's size."""
     kind = "response" if refers_to is None else "revisit"
     head = [
         f"WARC-Type: {kind}",
-        f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, f'{page_id}:{digest}')}>",
+        f"WARC-Record-ID: {_record_id(page_id, digest)}",
         f"WARC-Date: {DATE}",
-        f"WARC-Target-URI: {json.dumps(url)[1:-1]}",
+        *_uri(url),
         f"WARC-Payload-Digest: sha256:{digest}",
         f"X-Page-Id: {'' if page_id is None else page_id}",
         f"X-Payload-Length: {len(payload)}",
@@ -47,7 +62,7 @@ def record(page_id: int | None, url: str, payload: bytes, digest: str, refers_to
     if refers_to is None:
         body += payload
     else:
-        head += [f"X-Refers-To-Page: {refers_to}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
+        head += [f"WARC-Refers-To: {_record_id(refers_to, digest)}", f"X-Refers-To-Page: {refers_to}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
     head.append(f"Content-Length: {len(body)}")
     raw = b"WARC/1.1\r\n" + "\r\n".join(head).encode("utf-8", "surrogatepass") + b"\r\n\r\n" + body + b"\r\n\r\n"
     z = zlib.compressobj(1, zlib.DEFLATED, 31)
@@ -264,7 +279,7 @@ def _reader(keep: bool):
                         kind = head["warc-type"]
                         n = len(payload) if kind == "response" else _number(head.get("x-payload-length"))
                         digest = hashlib.sha256(payload).hexdigest() if kind == "response" else head["warc-payload-digest"][7:]
-                        rows.append((path, offset, _number(head.get("x-page-id")), kind, n, digest, _number(head.get("x-refers-to-page")), head.get("warc-target-uri"), payload if keep and kind == "response" else None, None, None))
+                        rows.append((path, offset, _number(head.get("x-page-id")), kind, n, digest, _number(head.get("x-refers-to-page")), target_uri(head), payload if keep and kind == "response" else None, None, None))
                         size += len(payload) if keep else 0
                         if len(rows) >= 4096 or size >= 8 << 20:
                             yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), _ARROW, strict=True)], schema=_ARROW)
@@ -279,7 +294,9 @@ def _reader(keep: bool):
 def read_warcs(archives: DataFrame, payloads: bool = True, tasks: int | None = None) -> DataFrame:
     """Records of the files named in the column `archive`, and a row of type gap for each quarantined range of bytes."""
     ship(archives.sparkSession)
-    paths = archives.select("archive").repartition(tasks or max(2 * archives.sparkSession.sparkContext.defaultParallelism, 8))
+    if tasks is None:  # an archive or a few a task
+        tasks = max(2 * archives.sparkSession.sparkContext.defaultParallelism, archives.count() // 4, 8)
+    paths = archives.select("archive").repartition(tasks)
     return paths.mapInArrow(_reader(payloads), _SCHEMA)
 
 
