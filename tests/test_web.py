@@ -120,16 +120,27 @@ def test_crawl(spark):
     assert pages_["https://s.test/b"].issue == "soft_404" and pages_["https://s.test/c"].depth == 2
     assert {(r.url, r.reason) for r in c.exclusions.collect()} >= {("https://other.test/", "external_host"), ("https://s.test/private", "robots_disallowed"), ("https://s.test/user/login", "login_route")}
     row = c.coverage.first()
-    assert row.n_pages == 7 and row.converged and row.n_robots == 1
+    assert (row.n_visited, row.n_pages, row.n_failures, row.converged, row.n_robots, row.status) == (7, 6, 0, True, 1, "completed")
+    assert row.sources_attempted == ["explicit_seed", "sitemap", "html_link", "redirect"] and row.sources_succeeded == row.sources_attempted and row.limits_reached == [] and row.blind_spots == ["sitemap_unavailable"]
+    assert row.n_requests == 7 and row.n_duplicates >= 2 and row.n_bytes == sum(len(r.body) for r in site(spark).collect() if not r.url.endswith((".txt", ".xml")))
     a = c.candidates.where("canonical_url = 'https://s.test/a'").first()
     assert a.aliases == ["https://s.test/a?utm_source=x"] and a.page_type
 
 
 def test_crawl_budgets(spark):
     scope = Scope(hosts=("s.test",))
-    assert crawl.collect_site(spark, ["https://s.test"], site(spark), scope, crawl.Budget(max_pages=2)).coverage.first().status == "partial"
+    run = lambda **limits: crawl.collect_site(spark, ["https://s.test"], site(spark), scope, crawl.Budget(**limits)).coverage.first()
+    got = {k: run(**{k: v}) for k, v in {"max_candidates": 3, "max_requests": 3}.items()}
+    assert {k: (r.status, r.limits_reached) for k, r in got.items()} == {k: ("partial", [k]) for k in got}
+    assert got["max_requests"].n_requests == 3 and got["max_candidates"].n_candidates == 3
+    both = run(max_depth=1, max_total_bytes=450)
+    assert both.limits_reached == ["max_depth", "max_total_bytes"] or both.limits_reached == ["max_total_bytes"]
+    ticks = iter(range(0, 10**6, 200))
+    late = crawl.collect_site(spark, ["https://s.test"], site(spark), scope, batch=1, clock=lambda: next(ticks)).coverage.first()
+    assert late.limits_reached == ["max_duration_seconds"] and late.status == "partial"
+    with pytest.raises(crawl.CrawlError):
+        crawl.collect_site(spark, ["mailto:x"], site(spark), scope)
     assert crawl.refresh_pages(spark, ["https://s.test/a"], site(spark), scope).pages.count() == 1
-    assert crawl.collect_site(spark, ["https://gone.test"], site(spark), Scope(hosts=("gone.test",))).pages.first().issue == "http_status"
 
 
 class Api(BaseHTTPRequestHandler):
@@ -144,9 +155,7 @@ class Api(BaseHTTPRequestHandler):
             return
         at = int(self.path.partition("cursor=")[2] or 0)
         more = at < 4
-        body = {"status": "completed", "records": [{"record_id": f"r{at + k}", "payload": {"b": k, "a": at}} for k in range(2)], "has_more": more, "next_cursor": str(at + 2) if more else str(at + 2)}
-        if at >= 6:
-            body = {"records": [], "has_more": False, "next_cursor": str(at)}
+        body = {"status": "completed", "records": [{"record_id": f"r{at + k}", "payload": {"b": k, "a": at}} for k in range(2)], "has_more": more, "next_cursor": str(at + 2) if more else None}
         self.send_response(200)
         self.end_headers()
         self.wfile.write(json.dumps(body).encode())
@@ -190,6 +199,8 @@ def test_router():
         route({"a": down(True), "b": lambda: "j1"})
     with pytest.raises(UpstreamError):
         route({})
+    with pytest.raises(UpstreamError):
+        route({"a": lambda: "ja"}, hint="zz")
 
 
 def test_discovery(spark):
@@ -207,3 +218,128 @@ def test_nothing_imports_the_training_data_package():
             for node in ast.walk(ast.parse(p.read_text())):
                 names = [a.name for a in node.names] if isinstance(node, ast.Import) else [node.module or ""] if isinstance(node, ast.ImportFrom) else []
                 assert not any("llm" in n.split(".") or n == "corpus_pipeline" for n in names), p
+
+
+def test_fetch_attempts(spark):
+    """A first error that may pass is tried once more; any other is not."""
+    kind = crawl.RESPONSE + ", attempt int, error string, retryable boolean"
+    rows = [("u1", 0, "", "", None, 1, "http_fetch_failed", True), ("u1", 200, "text/html", "ok", None, 2, None, False), ("u2", 0, "", "", None, 1, "response_too_large", False), ("u3", 0, "", "", None, 1, "http_fetch_failed", True)]
+    got = {r.wire: r for r in crawl.replay(spark.createDataFrame(rows, kind))(spark.createDataFrame([("u1",), ("u2",), ("u3",), ("u4",)], "wire string")).collect()}
+    assert [(got[u].status, got[u].error, got[u].requests) for u in ("u1", "u2", "u3", "u4")] == [(200, None, 2), (0, "response_too_large", 1), (0, "http_fetch_failed", 2), (404, None, 1)]
+
+
+def test_rendering(spark):
+    shell, full = '<html><div id="app"></div><script>x</script></html>', "<html>full</html>"
+    pages_ = spark.createDataFrame([("a", 200, "text/html", shell, None), ("b", 200, "text/html", full, None), ("c", 200, "text/html", shell, None)], crawl.RESPONSE)
+    made = spark.createDataFrame([("a", 200, "text/html", "rendered", None)], crawl.RESPONSE)
+    wanted = spark.createDataFrame([("a",), ("b",), ("c",)], "wire string")
+    got = {r.wire: (r.body, r.rendered, r.fallback_failed) for r in crawl.hybrid(crawl.replay(pages_), crawl.replay(made, rendered=True))(wanted).collect()}
+    assert got == {"a": ("rendered", True, False), "b": (full, False, False), "c": (shell, False, True)}
+    assert {r.error for r in crawl.hybrid(crawl.replay(pages_), None, "required")(wanted).collect()} == {"rendering_required"}
+    c = crawl.collect_site(spark, ["https://s.test/"], crawl.hybrid(crawl.replay(spark.createDataFrame([("https://s.test/", 200, "text/html", shell, None)], crawl.RESPONSE)), None), Scope(hosts=("s.test",)))
+    assert "rendered_content_unavailable" in c.coverage.first().blind_spots
+
+
+def test_auxiliary_redirects(spark):
+    rows = [(f"https://s.test/{k}", 301, "", "", f"/{k + 1}") for k in range(8)] + [("https://s.test/8", 200, "", "end", None), ("https://s.test/out", 302, "", "", "https://other.test/"), ("https://s.test/ok", 200, "", "fine", None)]
+    got = {r.url: (r.body, r.reason) for r in crawl.auxiliary(spark.createDataFrame([("https://s.test/0",), ("https://s.test/3",), ("https://s.test/out",), ("https://s.test/ok",), ("https://x.test/",)], "url string"), crawl.replay(spark.createDataFrame(rows, crawl.RESPONSE)), Scope(hosts=("s.test",))).collect()}
+    assert got == {"https://s.test/0": (None, "too_many_redirects"), "https://s.test/3": ("end", None), "https://s.test/out": (None, "redirect_out_of_scope"), "https://s.test/ok": ("fine", None), "https://x.test/": (None, "external_host")}
+
+
+def test_profile(spark):
+    feed = ("https://s.test/rss", 200, "text/xml", "<rss><channel><item><link>https://s.test/fed</link></item></channel></rss>", None)
+    pages_ = site(spark).union(spark.createDataFrame([feed, ("https://s.test/fed", 200, "application/json", '{"items": [{"url": "/from-json"}]}', None)], crawl.RESPONSE))
+    profile = crawl.Profile("s", hints=("/rss", "/map.xml"), excluded=("/A$",))
+    c, families, draft = crawl.inspect_site(spark, ["https://s.test"], pages_, Scope(hosts=("s.test",)), profile=profile, site_ref="s")
+    got = {r.canonical_url for r in c.pages.collect()}
+    assert {"https://s.test/fed", "https://s.test/from-json"} <= got and "https://s.test/a" not in got
+    assert c.coverage.first().sources_attempted[:3] == ["explicit_seed", "sitemap", "rss"]
+    with pytest.raises(crawl.CrawlError):
+        crawl.resolve_profile(Scope(), "other", profile)
+    d = draft.first()
+    assert d.seeds[0] == "https://s.test/" and d.evidence[0].startswith("candidates:") and families.count() >= 3
+
+
+def test_static_fetch(spark):
+    class Site(BaseHTTPRequestHandler):
+        def do_GET(self):  # noqa: N802
+            big = self.path == "/big"
+            self.send_response(302 if self.path == "/moved" else 200)
+            self.send_header("Content-Type", "text/html; charset=utf-8")
+            if self.path == "/moved":
+                self.send_header("Location", "/there")
+            self.end_headers()
+            self.wfile.write(b"x" * 5000 if big else "<p>é</p>".encode())
+
+        def log_message(self, *a):
+            pass
+
+    from webloom.sources.fetch import get, static
+
+    server = HTTPServer(("127.0.0.1", 0), Site)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{server.server_port}"
+    try:
+        rows = spark.createDataFrame([(url + p,) for p in ("/", "/moved", "/big")] + [("http://127.0.0.1:1/",)], "wire string")
+        got = {r.wire.removeprefix(url): r for r in static(max_bytes=1000, allow_private=True)(rows).collect()}
+        assert got["/"].body == "<p>é</p>" and got["/"].media_type == "text/html" and (got["/moved"].status, got["/moved"].redirect_to) == (302, "/there")
+        assert got["/big"].error == "response_too_large" and (got["http://127.0.0.1:1/"].error, got["http://127.0.0.1:1/"].requests) == ("http_fetch_failed", 2)
+        assert get(url)["error"] == "network_policy_denied"
+    finally:
+        server.shutdown()
+
+
+def test_network_policy(spark):
+    rows = [("https://a.test/", "GET", None), ("https://a.test/", "POST", "http_method_not_allowed"), ("ftp://a.test/", "get", "network_scheme_not_allowed"), ("https://u:p@a.test/", "HEAD", "network_credentials_not_allowed"), ("http://10.0.0.1/", "GET", "private_network"), ("http://metadata/", "GET", "private_network"), ("https://a.test:99999/", "GET", "invalid_network_url"), (None, "GET", "network_scheme_not_allowed")]
+    df = spark.createDataFrame([(u, m, w) for u, m, w in rows], "u string, m string, w string")
+    assert [r for r in df.select("u", "w", urls.network_policy(F.col("u"), F.col("m")).alias("got")).collect() if r.got != r.w] == []
+    assert urls.network_reason("https://a.test/", resolve_host=lambda h: ["10.1.1.1"]) == "private_network" and urls.network_reason("https://a.test/", resolve_host=lambda h: []) == "dns_resolution_failed"
+
+
+def test_scope_rules_of_text(spark):
+    """Exclusions ignore case; lengths are those of what is requested; a scope may ignore other keys."""
+    df = spark.createDataFrame([("https://e.test/Private/a",), ("https://e.test/" + "a" * 20 + "#" + "f" * 100,), ("https://e.test/a?keep=1&gclid=2",)], "u string")
+    one = lambda s: [r.r for r in df.select(decide(F.col("u"), canonical_fast(F.col("u")), s).alias("r")).collect()]
+    assert one(Scope(excluded=("/private",), max_url_length=60)) == ["path_excluded", None, None]
+    assert df.select(canonical_fast(F.col("u"), ("keep",)).alias("c")).collect()[2].c == "https://e.test/a?gclid=2"
+
+
+def test_plain_urls_are_not_sent_to_python(monkeypatch):
+    import pandas as pd
+
+    monkeypatch.setattr(urls, "canonical", lambda *a, **k: 1 / 0)
+    assert urls.exactly(pd.Series([None, None], dtype=object)).tolist() == [None, None]
+
+
+def test_last_page_of_a_job(spark, tmp_path):
+    """The last page has records and no cursor; for one page and for three."""
+    from webloom.sources.jobs import MemoryJobs, PagedReader, all_records
+
+    for n, size in ((1, 5), (3, 5), (0, 5), (5, 2)):
+        api = MemoryJobs(lambda spec: [{"payload": {"k": k}} for k in range(spec["n"])], size)
+        job = api.submit({"n": n}, f"key{n}")
+        assert api.submit({"n": 99}, f"key{n}") == job and [r[0] for r in all_records(api, job)] == [f"record-{k + 1}" for k in range(n)]
+    reader = PagedReader.__new__(PagedReader)
+    reader.api, reader.job = api, job
+    rows, end = reader.read(reader.initialOffset())
+    rows2, end2 = reader.read(end)
+    assert [r[0] for r in reader.readBetweenOffsets(reader.initialOffset(), end2)] == [r[0] for r in [*rows, *rows2]] and len(list(reader.readBetweenOffsets(end, end2))) == 2
+
+    class Stuck(MemoryJobs):
+        def results(self, job, cursor):
+            return super().results(job, cursor) | {"has_more": True, "next_cursor": None}
+
+    stuck = Stuck(lambda spec: [{"payload": {}}])
+    with pytest.raises(UpstreamError) as e:
+        all_records(stuck, stuck.submit({}, "k"))
+    assert e.value.code == "UPSTREAM_CURSOR_STALLED"
+
+
+def test_evidence_is_stored_once(spark, tmp_path):
+    from webloom.sources.store import evidence
+
+    rows = spark.createDataFrame([("html", "a", {"Etag": "1", "Cookie": "x"}), ("html", "a", {"Etag": "0"}), ("resource", "b", {})], "kind string, body string, headers map<string,string>")
+    root = f"file://{tmp_path}/e"
+    assert evidence(rows, root).count() == 3 and evidence(rows, root).count() == 3
+    stored = spark.read.parquet(root).collect()
+    assert sorted(r.body for r in stored) == ["a", "b"] and next(r for r in stored if r.body == "a").headers == {"Etag": "0"}

@@ -7,44 +7,54 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from webloom.functions.text import DATE
+
 # Route words (a segment that begins with one), title words, body phrases, route patterns.
 ROUTES = {
-    "login": "login signin sign-in auth",
-    "search": "search query 检索 搜索",
-    "notice": "notice announcement inform tzgg",
-    "news": "news newsstatus media conference dynamic act activity activities event events xw djgh",
-    "product": "product products jjfa solution case cases apply application equipment intelligentequipment smartmine smartocean railwayequipment algorithmcenter digital internethospital brainai ctimageai industry achievement achievements service services system custom project",
-    "profile": "about aboutinfo profile brief-introduction company culture honor history organization framework incubator overview vision cooperation collaboration alliance partner partners management team member introduction datesources",
-    "research": "research strategic-research direction scientific yanfa platform achievement achievements result results outcome outcomes source sources technology technologies innovation project xmzj datesources",
-    "recruitment": "recruit recruitment career job rczp",
-    "contact": "contact connect lxwm message feedback joinus join",
+    "login": ("login", "signin", "sign-in", "auth",),
+    "search": ("search", "query", "检索", "搜索",),
+    "notice": ("notice", "announcement", "inform", "tzgg",),
+    "news": ("news", "newsstatus", "media", "conference", "dynamic", "act", "activity", "activities", "event", "events", "xw", "djgh",),
+    "product": ("product", "products", "jjfa", "solution", "case", "cases", "apply", "application", "equipment", "intelligentequipment", "smartmine", "smartocean", "railwayequipment", "algorithmcenter", "digital", "internethospital", "brainai", "ctimageai", "industry", "achievement", "achievements", "service", "services", "system", "custom", "project",),
+    "profile": ("about", "aboutinfo", "profile", "brief-introduction", "company", "culture", "honor", "history", "organization", "framework", "incubator", "overview", "vision", "cooperation", "collaboration", "alliance", "partner", "partners", "management", "team", "member", "introduction", "datesources",),
+    "research": ("research", "strategic-research", "direction", "scientific", "yanfa", "platform", "achievement", "achievements", "result", "results", "outcome", "outcomes", "source", "sources", "technology", "technologies", "innovation", "project", "xmzj", "datesources",),
+    "recruitment": ("recruit", "recruitment", "career", "job", "rczp",),
+    "contact": ("contact", "connect", "lxwm", "message", "feedback", "joinus", "join",),
 }
 TITLES = {
-    "login": "login signin 登录 用户登录",
-    "search": "search query 检索 搜索",
-    "notice": "notice notices announcement announcements 通知 公告 公示",
-    "product": "product products 产品 解决方案 应用方案 智能装备 产品服务 行业应用 落地案例 企划咨询 成为合作伙伴 数据增值服务平台",
-    "profile": "about 关于我们 机构简介 院所简介 机构介绍 院所介绍 公司介绍 研究院概况 机构概况 公司简介 企业文化 公司荣誉 荣誉资质 发展历程 组织架构 专家团队 研发团队 技术团队 团队介绍 技术专家 孵化空间 人才理念 人才培养 管理团队 成员单位 联创中心 材料大数据平台 合作高校 创新联盟 研究合作 核心价值观 企业价值观 使命愿景 简介 概况",
-    "research": "研究方向 研发方向 研究成果 科研成果 技术成果 成果转化 工程转化 研发平台 研发中心 研究中心 技术中心 技术服务 共性技术事业部 产业孵化 高光谱 超光谱 技术知识 技术原理",
-    "recruitment": "recruit recruitment career 招聘 人才招聘 招聘信息 岗位",
-    "contact": "contact connect 联系方式 联系我们 联系",
-    "notice_word": "notice announcement 通知 公告 公示",
-    "news_word": "news 动态 资讯",
+    "login": ("login", "signin", "登录", "用户登录",),
+    "search": ("search", "query", "检索", "搜索",),
+    "notice": ("notice", "notices", "announcement", "announcements", "通知", "公告", "公示",),
+    "product": ("product", "products", "产品", "解决方案", "应用方案", "智能装备", "产品服务", "行业应用", "落地案例", "企划咨询", "成为合作伙伴", "数据增值服务平台",),
+    "profile": ("about", "关于我们", "机构简介", "院所简介", "机构介绍", "院所介绍", "公司介绍", "研究院概况", "机构概况", "公司简介", "企业文化", "公司荣誉", "荣誉资质", "发展历程", "组织架构", "专家团队", "研发团队", "技术团队", "团队介绍", "技术专家", "孵化空间", "人才理念", "人才培养", "管理团队", "成员单位", "联创中心", "材料大数据平台", "合作高校", "创新联盟", "研究合作", "核心价值观", "企业价值观", "使命愿景", "简介", "概况",),
+    "research": ("研究方向", "研发方向", "研究成果", "科研成果", "技术成果", "成果转化", "工程转化", "研发平台", "研发中心", "研究中心", "技术中心", "技术服务", "共性技术事业部", "产业孵化", "高光谱", "超光谱", "技术知识", "技术原理",),
+    "recruitment": ("recruit", "recruitment", "career", "招聘", "人才招聘", "招聘信息", "岗位",),
+    "contact": ("contact", "connect", "联系方式", "联系我们", "联系",),
+    "notice_word": ("notice", "announcement", "通知", "公告", "公示",),
+    "news_word": ("news", "动态", "资讯",),
 }
-PRODUCT_PHRASES = "技术成果类别 成果类别 应用技术成果 研究成果简介 产品简介"
+PRODUCT_PHRASES = ("技术成果类别", "成果类别", "应用技术成果", "研究成果简介", "产品简介")
 ITEM_PHRASES = ("发布时间", "发布日期", "发表时间", "来源：", "来源:", "作者：", "作者:", "publish time", "published", "view count")
 PATTERNS = {
-    "explicit": r"(?i)/(?:detail|article|show|view)(?:/|$)|/about[_-]?info(?:/|$)|/archives?/\d+(?:\.[^/]*)?$|/article-item-\d+(?:\.[^/]*)?$|/page-\d+-\d+(?:\.[^/]*)?$|/post/\d+(?:\.[^/]*)?$",
-    "dated": r"(?i)/newsstatus/(?:news|inform)/20\d{2}[-/]\d{1,2}[-/]\d{1,2}/\d+|/20\d{2}/\d{2,4}/[^/]+/page\.html?$|/[^/]+/info/20\d{2}/\d+\.html?$",
+    "shown": r"(?i)/(?:detail|article|show|view)(?:/|$)",
+    "about": r"(?i)/about[_-]?info(?:/|$)",
+    "archive": r"(?i)/archives?/\d+(?:\.[^/]*)?$",
+    "item": r"(?i)/article-item-\d+(?:\.[^/]*)?$",
+    "paged": r"(?i)/page-\d+-\d+(?:\.[^/]*)?$",
+    "post": r"(?i)/post/\d+(?:\.[^/]*)?$",
+    "dated_status": r"(?i)/newsstatus/(?:news|inform)/20\d{2}[-/]\d{1,2}[-/]\d{1,2}/\d+",
+    "dated_page": r"(?i)/20\d{2}/\d{2,4}/[^/]+/page\.html?$",
+    "dated_info": r"(?i)/[^/]+/info/20\d{2}/\d+\.html?$",
     "numeric": r"(?i)/(?:news|notice|new|product|products|jjfa)(?:/[^/]+)*/[^/]*\d[^/]*(?:\.(?:html?|htm))?$",
     "compound": r"(?i)/(?:apply|application|case|cases|service|solution)/[^/]*\d[^/]*[_-][^/]*$",
     "static": r"(?i)^/page\d+(?:\.[^/]*)?$",
     "query_static": r"(?i)(?:^|/)(?:page|pages)[_-]?\d+(?:/|$)",
-    "strict_item": r"(?i)/new/[^/]*\d[^/]*\.(?:html?|htm)$|/(?:news|notice|new)/[^/]+/[^/]*\d[^/]*\.(?:html?|htm)$|/(?:product|products|jjfa)/[^/]*\d[^/]*\.(?:html?|htm)$",
+    "strict_new": r"(?i)/new/[^/]*\d[^/]*\.(?:html?|htm)$",
+    "strict_news": r"(?i)/(?:news|notice|new)/[^/]+/[^/]*\d[^/]*\.(?:html?|htm)$",
+    "strict_product": r"(?i)/(?:product|products|jjfa)/[^/]*\d[^/]*\.(?:html?|htm)$",
     "list": r"(?i)/(?:list|index|act|activity|activities|event|events|news\d*|notice\d*|rczp\d*|xmzj\d*)(?:[-_]\d+)*(?:\.(?:html?|htm))?/?$",
     "query_list": r"(?i)(?:^|/)(?:en/)?(?:news|notice|article|job|recruitment|research)/?$",
 }
-JAVA_DATE = r"20\d{2}\s*(?:年|[-/.])\s*\d{1,2}\s*(?:月|[-/.])\s*\d{1,2}(?:日)?(?:\s*[T ]\s*\d{1,2}(?::|时)\d{1,2}(?::\d{1,2})?)?"
 
 
 def _squeezed(x: Column) -> Column:
@@ -58,15 +68,15 @@ def route_segments(route: Column) -> Column:
     return F.transform(F.concat(raw, cut), _squeezed)
 
 
-def begins(parts: Column, words: str) -> Column:
-    pattern = "^(?:" + "|".join(re.escape(re.sub(r"[^a-z0-9㐀-鿿]", "", w)) for w in words.split()) + ")"
+def begins(parts: Column, words: tuple[str, ...]) -> Column:
+    pattern = "^(?:" + "|".join(re.sub(r"[^a-z0-9㐀-鿿]", "", w) for w in words) + ")"
     return F.exists(parts, lambda s: s.rlike(pattern))
 
 
-def title_says(title: Column, words: str) -> Column:
+def title_says(title: Column, words: tuple[str, ...]) -> Column:
     """ASCII words between non-letters, others anywhere; titles over 120 characters say nothing."""
     low = F.lower(F.trim(title))
-    ascii_, other = [w for w in words.split() if w.isascii()], [w for w in words.split() if not w.isascii()]
+    ascii_, other = [w for w in words if w.isascii()], [w for w in words if not w.isascii()]
     pattern = "|".join([f"(?<![a-z])(?:{'|'.join(ascii_)})(?![a-z])"] * bool(ascii_) + other)
     return (F.length(low) <= 120) & low.rlike(pattern)
 
@@ -82,16 +92,18 @@ def classified(facts: Column, url: Column, media_type: Column | None = None, rou
     for k, w in TITLES.items():
         has[k] = has[k] | title_says(title, w) if k in has and k not in ("login", "search") else has.get(k)
     early = F.lower(F.substring(body, 1, 4000))
-    has["product"] = has["product"] | early.rlike("|".join(PRODUCT_PHRASES.split())) | (fits["compound"] & begins(path_parts, "apply application case cases service"))
-    has["research"] = has["research"] | (begins(parts, "resource") & ~listed)
+    has["product"] = has["product"] | early.rlike("|".join(PRODUCT_PHRASES)) | (fits["compound"] & begins(path_parts, ("apply", "application", "case", "cases", "service")))
+    has["research"] = has["research"] | (begins(parts, ("resource",)) & ~listed)
     login = begins(path_parts, ROUTES["login"]) | title_says(title, TITLES["login"]) | F.coalesce(facts["login_form"], F.lit(False))
     search = begins(path_parts, ROUTES["search"]) | title_says(title, TITLES["search"])
     start = F.lower(F.substring(body, 1, 2000))
-    item = dated & (F.length(body) >= 80) & (start.rlike("|".join(ITEM_PHRASES)) | ((F.regexp_count(start, F.lit(JAVA_DATE)) == 1) & (F.length(body) >= 180)))
+    item = dated & (F.length(body) >= 80) & (start.rlike("|".join(ITEM_PHRASES)) | ((F.regexp_count(start, F.lit(DATE)) == 1) & (F.length(body) >= 180)))
     topical = has["notice"] | has["news"] | has["product"] | has["profile"] | has["research"] | has["recruitment"] | has["contact"]
+    explicit = fits["shown"] | fits["about"] | fits["archive"] | fits["item"] | fits["paged"] | fits["post"] | fits["dated_status"] | fits["dated_page"] | fits["dated_info"]
+    strict = fits["strict_new"] | fits["strict_news"] | fits["strict_product"]
     detail = (
-        fits["explicit"] | fits["dated"] | fits["compound"] | (fits["static"] & (F.length(body) >= 180)) | fits["query_static"] | (item & ~topical)
-        | (fits["numeric"] & (~listed | fits["strict_item"] | item)) | F.coalesce(facts["query_detail"], F.lit(False))
+        explicit | fits["compound"] | (fits["static"] & (F.length(body) >= 180)) | fits["query_static"] | (item & ~topical)
+        | (fits["numeric"] & (~listed | strict | item)) | F.coalesce(facts["query_detail"], F.lit(False))
     )
     many = listed | fits["list"] | fits["query_list"]
     full = dated & (F.length(body) >= 120)

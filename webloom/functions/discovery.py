@@ -13,7 +13,7 @@ from pyspark.sql.types import ArrayType, StringType
 
 # Keys of JSON objects that hold URLs, conventional sitemap paths.
 JSON_KEYS = ("url", "href", "link", "uri", "permalink", "next", "target")
-SITEMAP_PATHS = ("/sitemap.xml", "/sitemap_index.xml", "/sitemap-index.xml", "/wp-sitemap.xml", "/sitemap/sitemap.xml", "/sitemap.xml.gz")
+SITEMAP_PATHS = ("/sitemap.xml", "/sitemap_index.xml", "/sitemap-index.xml", "/sitemap/sitemap.xml", "/sitemap.xml.gz", "/sitemap_index.xml.gz")
 DEPTH = 3
 
 
@@ -42,6 +42,11 @@ def is_index(xml: Column) -> Column:
     return F.coalesce(xml.rlike(r"<(?:\w+:)?sitemapindex\b"), F.lit(False))
 
 
+def locations(bodies: DataFrame) -> DataFrame:
+    """loc and is_index for each location of sitemaps (url, body text)."""
+    return bodies.where("body is not null").select(F.explode(_locations(F.col("body"))).alias("loc"), is_index(F.col("body")).alias("is_index"))
+
+
 def sitemap_urls(starts: DataFrame, responses: DataFrame, depth: int = DEPTH) -> DataFrame:
     """Page URLs of sitemaps (url), following index files at most `depth` levels down through responses (url, body binary). A fixed number of joins; each sitemap is read once a level."""
     texts = responses.select("url", unzipped("body").alias("xml"))
@@ -84,12 +89,13 @@ def json_urls(body: pd.Series) -> pd.Series:
 
 
 def looks_html(media_type: Column, body: Column) -> Column:
-    start = F.lower(F.substring(F.trim(F.coalesce(body, F.lit(""))), 1, 256))
-    return F.coalesce(F.lower(media_type).rlike("html"), F.lit(False)) | start.rlike("^<!doctype html|^<html")
+    """By media type, else by how the body begins."""
+    media, start = F.lower(F.coalesce(media_type, F.lit(""))), F.lower(F.ltrim(F.substring(F.coalesce(body, F.lit("")), 1, 512)))
+    return media.rlike("^(?:text/html|application/xhtml)") | start.rlike("^(?:<!doctype html|<html|<head|<body)")
 
 
 def looks_json(media_type: Column, body: Column) -> Column:
-    return F.coalesce(F.lower(media_type).rlike("json"), F.lit(False)) | F.substring(F.trim(F.coalesce(body, F.lit(""))), 1, 1).isin("{", "[")
+    return F.contains(F.lower(F.coalesce(media_type, F.lit(""))), F.lit("json")) | F.ltrim(F.substring(F.coalesce(body, F.lit("")), 1, 80)).rlike(r"^[{\[]")
 
 
 def http_outcome(status: Column) -> Column:

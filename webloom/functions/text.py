@@ -19,6 +19,7 @@ def language(x: Column) -> Column:
     return F.coalesce(F.when((cjk > 0) & (cjk >= latin * 0.05), "zh").when(latin > 0, "en").otherwise(""), F.lit(""))
 
 
+# The date pattern, phrases of pages that were not found, marks and size of a script-only page, headers that are not kept.
 DATE = r"(20\d{2})\s*(?:年|[-/.])\s*(\d{1,2})\s*(?:月|[-/.])\s*(\d{1,2})日?(?:\s*[T ]\s*(\d{1,2})(?::|时)(\d{1,2})(?::(\d{1,2}))?)?"
 
 
@@ -48,18 +49,32 @@ def any_keyword(x: Column, *words: str) -> Column:
     return F.coalesce(out, F.lit(False))
 
 
+NOT_FOUND_TITLES = ("page not found", "页面未找到", "页面不存在", "找不到页面")
+NOT_FOUND_BODIES = ("page not found", "404 -", "404页面", "页面未找到", "页面不存在")
+NOT_FOUND_BODY_SIZE = 300
+APP_MARKS = ('id="app"', "id='app'", 'id="root"', "id='root'", "__next_data__", "data-reactroot")
+APP_SIZE = 1200
+PRIVATE_HEADERS = ("authorization", "cookie", "proxy-authorization", "set-cookie", "x-api-key")
+
+
 def soft_not_found(title: Column, body: Column) -> Column:
     """A page that says 'not found' with status 200."""
     t, b = F.lower(collapse(title)), F.lower(collapse(F.substring(body, 1, 1200)))
-    in_title = t.rlike(r"(?:^|\s|[-|])404(?:\s|$|[-|])") | t.rlike("page not found|页面未找到|页面不存在|找不到页面")
-    return F.coalesce(in_title, F.lit(False)) | F.coalesce((F.length(b) <= 300) & b.rlike("page not found|404 -|404页面|页面未找到|页面不存在"), F.lit(False))
+    in_title = t.rlike(r"(?:^|\s|[-|])404(?:\s|$|[-|])") | t.rlike("|".join(NOT_FOUND_TITLES))
+    in_body = (F.length(b) <= NOT_FOUND_BODY_SIZE) & b.rlike("|".join(NOT_FOUND_BODIES))
+    return F.coalesce(in_title, F.lit(False)) | F.coalesce(in_body, F.lit(False))
 
 
-def app_shell(html: Column) -> Column:
-    """A script-only page: a root marker, a script, and under 1200 characters before the first one."""
-    low = F.lower(html)
-    head = F.split(low, "<script", 2)
-    return low.rlike(r"id=[\"'](?:app|root|__next|__nuxt)[\"']") & (F.size(head) > 1) & (F.length(F.trim(F.regexp_replace(F.element_at(head, 1), "<[^>]*>", " "))) < 1200)
+def app_shell(html: Column, media_type: Column | None = None) -> Column:
+    """A page that scripts have to fill: a root mark, a script, and fewer than APP_SIZE characters before the first one."""
+    low = F.lower(F.substring(html, 1, 100_000))
+    marked = F.lit(False)
+    for mark in APP_MARKS:
+        marked = marked | F.contains(low, F.lit(mark))
+    made = marked & F.contains(low, F.lit("<script")) & (F.length(F.trim(F.substring_index(low, "<script", 1))) < APP_SIZE)
+    if media_type is not None:
+        made = made & F.coalesce(media_type, F.lit("")).rlike("^(?:$|text/html|application/xhtml)")
+    return F.coalesce(made, F.lit(False))
 
 
 def header(headers: Column, name: str) -> Column:
@@ -68,4 +83,4 @@ def header(headers: Column, name: str) -> Column:
 
 def public_headers(headers: Column) -> Column:
     """Headers without credentials and cookies."""
-    return F.map_filter(headers, lambda k, v: ~F.lower(k).isin("authorization", "cookie", "proxy-authorization", "set-cookie", "x-api-key"))
+    return F.map_filter(headers, lambda k, v: ~F.lower(k).isin(*PRIVATE_HEADERS))

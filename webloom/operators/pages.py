@@ -42,6 +42,32 @@ def merge_candidates(found: DataFrame, known: DataFrame | None = None) -> DataFr
     return merged.select("canonical_url", "url", "depth", F.col("best.priority").alias("priority"), F.col("best.seq").alias("seq"), "sources", F.array_remove("urls", F.col("url")).alias("aliases"))
 
 
+def fold(found: DataFrame) -> DataFrame:
+    """Observations (canonical_url, url, source, depth, priority, seq) as one frontier row for each canonical URL; merge() adds more of them."""
+    by = found.groupBy("canonical_url", "source").agg(F.min("seq").alias("first"), F.min("depth").alias("depth"), F.min(F.struct("priority", "seq")).alias("best"), F.min(F.struct("seq", "url")).alias("head"), F.collect_set("url").alias("urls"))
+    return by.groupBy("canonical_url").agg(F.min("head").alias("head"), F.min("depth").alias("depth"), F.min("best").alias("best"), F.collect_list(F.struct("first", "source")).alias("sources"), F.array_distinct(F.flatten(F.collect_list("urls"))).alias("urls"))
+
+
+def merge(rows: DataFrame) -> DataFrame:
+    """Frontier rows, one for each canonical URL again: the first URL, the least depth and priority, each source with its first appearance, visited if one is."""
+    every = F.flatten(F.collect_list("sources"))
+    m = rows.groupBy("canonical_url").agg(F.min("head").alias("head"), F.min("depth").alias("depth"), F.min("best").alias("best"), every.alias("s"), F.array_distinct(F.flatten(F.collect_list("urls"))).alias("urls"), F.max("visited").alias("visited"))
+    names = F.array_distinct(F.transform("s", lambda x: x["source"]))
+    once = F.transform(names, lambda n: F.struct(F.array_min(F.transform(F.filter("s", lambda x: x["source"] == n), lambda x: x["first"])).alias("first"), n.alias("source")))
+    return m.select("canonical_url", "head", "depth", "best", once.alias("sources"), "urls", "visited")
+
+
+def source_names(sources: Column | str) -> Column:
+    """Sources of a frontier row, in the order of their first appearance."""
+    return F.transform(F.array_sort(sources), lambda x: x["source"])
+
+
+def unfold(rows: DataFrame) -> DataFrame:
+    """Frontier rows as candidates: canonical_url, url, depth, priority, seq, sources, aliases, visited."""
+    url = F.col("head.url")
+    return rows.select("canonical_url", url.alias("url"), "depth", F.col("best.priority").alias("priority"), F.col("best.seq").alias("seq"), source_names("sources").alias("sources"), F.array_sort(F.array_remove("urls", url)).alias("aliases"), "visited")
+
+
 def route_families(pages: DataFrame, samples: int = 5) -> DataFrame:
     """Pages by the first segment of their path: pattern, n_pages, the first `samples` URLs in order and, if page_type is there, the types."""
     first = F.element_at(F.split(F.regexp_extract("canonical_url", r"^[a-z]+://[^/?#]*/?([^?#]*)", 1), "/"), 1)

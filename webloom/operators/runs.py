@@ -44,12 +44,18 @@ def round_robin(candidates: DataFrame, after_scope: str | None = None) -> DataFr
 def allocate(candidates: DataFrame, limit: int, global_limit: int | None = None, scope_limits: dict | None = None, gateway_limits: dict | None = None, active_scopes: dict | None = None, active_gateways: dict | None = None, after_scope: str | None = None) -> DataFrame:
     """Claims under quotas, one after the other, so that a scope whose quota is spent, or a run whose gateway is full, is passed over and not waited for.
 
-    Order decides, so the claim itself is one sequential pass. What it has to see is bounded first: with g gateways full or not, the first `limit` runs of each (scope, gateway) hold every claim, and a claim takes `limit` in all, so no scope after the first `limit` of each gateway in rotation counts either.
+    Order decides, so the claim itself is one sequential pass. What it has to see is bounded first: whichever gateways are full, the first `limit` runs of each (scope, gateway) hold every claim. And every scope before another one that still has runs of an open gateway claims one in the first round, so of the scopes with runs of a gateway only the first `limit` in rotation count, those whose quota is spent left out. That is limit * limit runs for each gateway.
     """
     wrapped = (F.col("scope_key") <= F.lit(after_scope)) if after_scope is not None else F.lit(False)
     order = (F.desc("priority"), F.col("accepted_at"), F.col("run_id"))
     c = candidates.withColumn("wrapped", wrapped)
     c = c.withColumn("nth", F.row_number().over(Window.partitionBy("scope_key", "gateway").orderBy(*order))).where(F.col("nth") <= limit)
+    busy = {**{k: 0 for k in scope_limits or {}}, **(active_scopes or {})}
+    spent = [k for k, n in busy.items() if k != "*" and n >= (scope_limits or {}).get(k, (scope_limits or {}).get("*", 1 << 30))]
+    c = c.where(~F.col("scope_key").isin(*spent)) if spent else c
+    line = Window.partitionBy("gateway").orderBy("wrapped", "scope_key")
+    near = c.select("gateway", "wrapped", "scope_key").distinct().withColumn("place", F.row_number().over(line)).where(F.col("place") <= limit).select("scope_key", F.col("gateway").alias("g"))
+    c = c.alias("c").join(near.alias("n"), (F.col("c.scope_key") == F.col("n.scope_key")) & F.col("c.gateway").eqNullSafe(F.col("n.g")), "left_semi")
     kind = "scope_key string, run_id string, gateway string, claim_order int"
     room = min(limit, global_limit if global_limit is not None else limit)
     scope_limits, gateway_limits = dict(scope_limits or {}), dict(gateway_limits or {})
@@ -86,7 +92,7 @@ def allocate(candidates: DataFrame, limit: int, global_limit: int | None = None,
         yield pd.DataFrame(out, columns=["scope_key", "run_id", "gateway", "claim_order"])
 
     slim = c.select("wrapped", "scope_key", "priority", F.unix_micros(F.col("accepted_at").cast("timestamp")).alias("accepted_at"), "run_id", "gateway")
-    return slim.coalesce(1).mapInPandas(greedy, kind)
+    return slim.repartition(1).mapInPandas(greedy, kind)  # both bounds hold before this one task
 
 
 def save_fenced(stored: DataFrame, changed: DataFrame) -> DataFrame:

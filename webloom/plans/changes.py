@@ -179,13 +179,14 @@ def outbox(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = F.lit(None).cast("string")
     return e.select(
         "scope_key", "document_id", "event_id", "sequence", status.alias("status"), F.col("event_order").alias("created_at"), at.alias("next_attempt_at"), F.when(status == "delivering", F.lit("w0")).alias("lease_owner"),
-        F.when(status == "delivering", at).alias("lease_until"), F.pmod("event_order", F.lit(5)).cast("long").alias("attempt_count"), F.lit(1).cast("long").alias("state_version"), none.alias("last_error_code"), none.alias("last_error_message"),
+        F.when(status == "delivering", at).alias("lease_until"), F.pmod("event_order", F.lit(5)).cast("long").alias("attempt_count"), F.lit(1).cast("long").alias("state_version"),
+        F.when(die >= 60, F.concat(F.lit("E"), (die % 7).cast("string"))).alias("last_error_code"), F.when(die >= 60, "an earlier failure").otherwise(none).alias("last_error_message"), F.when(die < 60, at).alias("delivered_at"), at.alias("updated_at"),
     )
 
 
 _OUTBOX = f"""{_DECIDED},
 outbox as (select scope_key, document_id, event_id, sequence, case when d < 60 then 'delivered' when d < 70 then 'delivering' when d = 99 then 'blocked' else 'pending' end as status, event_order as created_at,
-  effective_observed_at as due, event_order % 5 as attempt_count, 1::bigint as state_version from (select *, (event_order * 7919) % 100 as d from changes)),
+  effective_observed_at as due, event_order % 5 as attempt_count, 1::bigint as state_version, case when d >= 60 then 'E' || (d % 7) end as last_error_code, case when d >= 60 then 'an earlier failure' end as last_error_message, case when d < 60 then effective_observed_at end as delivered_at from (select *, (event_order * 7919) % 100 as d from changes)),
 heads as (select *, min(case when status <> 'delivered' then sequence end) over (partition by scope_key, document_id) as head from outbox),
 claimable as (select * from heads where status in ('pending', 'delivering') and due <= '{OUTBOX_NOW}' and sequence = head),
 claimed as (select * replace (attempt_count + 1 as attempt_count, state_version + 1 as state_version) from (select * from claimable order by created_at, event_id limit 60)),
@@ -211,20 +212,37 @@ def outbox_claim(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _settled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The claimed rows, and the whole outbox after their results."""
     now = _now(OUTBOX_NOW)
-    claimed = delivery.claim(outbox(spark, sf_dir), now, "w1", batch=60)
+    box = outbox(spark, sf_dir)
+    claimed = delivery.claim(box, now, "w1", batch=60)
     results = claimed.select("event_id", "lease_owner", "state_version", (F.col("sequence") % 2 == 0).alias("ok"), F.lit("UNREACHABLE").alias("code"), F.lit("no\nanswer").alias("message"))
-    return claimed, delivery.settle(claimed, results, now)
+    return claimed, delivery.settle(delivery.replace_rows(box, claimed), results, now)
 
 
 @query(
-    f"""with {_OUTBOX} select event_id, new_status as status, state_version + 1 as state_version, case when new_status <> 'delivered' then 'UNREACHABLE' end as last_error_code, case when new_status <> 'delivered' then 'no answer' end as last_error_message,
-  strftime(case when new_status = 'pending' then timestamp '{OUTBOX_NOW}' + to_seconds(least(2 ** (attempt_count - 1), 300)::int) else due end, '{SQL_STAMP}') as next_attempt_at from settled"""
+    f"""with {_OUTBOX}, s as (select event_id, new_status, attempt_count, state_version from settled)
+select o.event_id, coalesce(new_status, o.status) as status, coalesce(s.state_version + 1, o.state_version) as state_version,
+  case when new_status = 'delivered' then null when new_status is not null then 'UNREACHABLE' else last_error_code end as last_error_code, case when new_status = 'delivered' then null when new_status is not null then 'no answer' else last_error_message end as last_error_message,
+  strftime(case when new_status = 'pending' then timestamp '{OUTBOX_NOW}' + to_seconds(least(2 ** (s.attempt_count - 1), 300)::int) else due end, '{SQL_STAMP}') as next_attempt_at,
+  strftime(case when new_status = 'delivered' then timestamp '{OUTBOX_NOW}' else delivered_at end, '{SQL_STAMP}') as delivered_at, strftime(case when new_status is not null then timestamp '{OUTBOX_NOW}' else due end, '{SQL_STAMP}') as updated_at
+from outbox o left join s using (event_id)"""
 )
 def outbox_settled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The claimed rows after their results."""
+    """The whole outbox after the results of a claim; rows without one keep what they had."""
     _, s = _settled(spark, sf_dir)
-    return s.select("event_id", "status", "state_version", "last_error_code", "last_error_message", F.date_format("next_attempt_at", STAMP).alias("next_attempt_at"))
+    return s.select("event_id", "status", "state_version", "last_error_code", "last_error_message", *[F.date_format(c, STAMP).alias(c) for c in ("next_attempt_at", "delivered_at", "updated_at")])
+
+
+@query(
+    f"""with {_DECIDED} select event_id, case when event_order % 3 = 0 then 'delivered' else 'pending' end as status, case when event_order % 3 = 0 then 2 else 1 end::bigint as state_version from changes"""
+)
+def outbox_enqueued(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events put into an outbox that holds a third of them, delivered."""
+    events = history.change_events(_decided(spark, sf_dir))
+    at = F.col("effective_observed_at").cast("timestamp")
+    held = delivery.enqueue(None, events.where("event_order % 3 = 0"), at).withColumns({"status": F.lit("delivered"), "state_version": F.lit(2).cast("long")})
+    return delivery.enqueue(held, events, at).select("event_id", "status", "state_version")
 
 
 @query(f"with {_OUTBOX} select count(*) as claimed, count(*) filter (where new_status = 'delivered') as delivered, count(*) filter (where new_status = 'pending') as retried, count(*) filter (where new_status = 'blocked') as blocked from settled")

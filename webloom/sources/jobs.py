@@ -5,6 +5,7 @@ A job is submitted with an idempotency key, and its results are paged by cursor.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import time
 import urllib.error
@@ -20,11 +21,12 @@ STATES = ("queued", "running", "completed", "completed_with_errors", "failed", "
 
 
 class UpstreamError(Exception):
-    """code; retryable; retry_after in seconds; ambiguous: a submission may have arrived."""
+    """code; retryable; retry_after in seconds; ambiguous: a submission may have arrived; fallback: another gateway may be asked."""
 
-    def __init__(self, code: str, message: str, retryable: bool = False, retry_after: float | None = None, ambiguous: bool = False):
+    def __init__(self, code: str, message: str, retryable: bool = False, retry_after: float | None = None, ambiguous: bool = False, fallback: bool | None = None):
         super().__init__(message)
         self.code, self.retryable, self.retry_after, self.ambiguous = code, retryable, retry_after, ambiguous
+        self.fallback = retryable if fallback is None else fallback
 
 
 def call(method: str, url: str, body: dict | None = None, token: str | None = None, timeout: float = 30.0, attempts: int = 3, pause: float = 0.1, headers: dict | None = None) -> dict:
@@ -94,41 +96,111 @@ class JobResults(DataSource):
         return PagedReader(dict(self.options))
 
 
+TERMINAL = ("completed", "completed_with_errors", "failed", "cancelled")
+
+
 class PagedReader(SimpleDataSourceStreamReader):
+    """The offset is the cursor of the page that is read next, how many of its records were consumed, how many were in all, and whether that was the end. The last page has no cursor after it: while the job runs it is read again for records that came later."""
+
     def __init__(self, options: dict):
         self.api, self.job = JobApi(options["url"], options.get("token")), options["job"]
 
     def initialOffset(self) -> dict:
-        return {"cursor": "", "n": 0}
+        return {"cursor": "", "seen": 0, "n": 0, "done": False}
 
     def _page(self, start: dict) -> tuple[list[tuple], dict]:
+        state = self.api.status(self.job)  # before the page: what a finished job has is all there
         got = self.api.results(self.job, start["cursor"] or None)
-        rows = [record(r, start["n"] + k + 1) for k, r in enumerate(got.get("records", []))]
-        after = str(got.get("next_cursor") or start["cursor"])
-        if got.get("has_more") and after == start["cursor"]:
-            raise UpstreamError("STALLED_CURSOR", "more records, but the cursor stays")
-        return rows, {"cursor": after, "n": start["n"] + len(rows)} if after != start["cursor"] else start
+        raw = got.get("records", [])
+        if not isinstance(raw, list) or not isinstance(got.get("has_more", False), bool):
+            raise UpstreamError("PROTOCOL_ERROR", "not a page of records")
+        rows = [record(r, start["n"] + k + 1) for k, r in enumerate(raw[start["seen"] :])]
+        n = start["n"] + len(rows)
+        if not got.get("has_more"):
+            return rows, {"cursor": start["cursor"], "seen": start["seen"] + len(rows), "n": n, "done": state in TERMINAL}
+        after = str(got.get("next_cursor") or "")
+        if after in ("", start["cursor"]):
+            raise UpstreamError("UPSTREAM_CURSOR_STALLED", "more records, but the cursor stays")
+        return rows, {"cursor": after, "seen": 0, "n": n, "done": False}
 
     def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
+        if start["done"]:
+            return iter(()), start
         rows, after = self._page(start)
-        return iter(rows if after != start else []), after
+        return iter(rows), after
 
     def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
         at = start
-        while at["cursor"] != end["cursor"]:
+        while at["n"] < end["n"]:
+            before = at
             rows, at = self._page(at)
-            yield from rows
+            yield from rows[: end["n"] - before["n"]]
+
+
+class MemoryJobs:
+    """Jobs over rows that are given: made by idempotency key, paged by an integer offset, no cursor after the last page. For tests and demos; same calls as JobApi."""
+
+    def __init__(self, records: Callable[[dict], list[dict]], page_size: int = 100):
+        if page_size < 1:
+            raise ValueError("page_size must be at least 1")
+        self.make, self.page_size = records, page_size
+        self.jobs: dict[str, list[dict]] = {}
+        self.keys: dict[str, str] = {}
+
+    def submit(self, spec: dict, key: str) -> str:
+        if key not in self.keys:
+            self.keys[key] = f"job_{hashlib.sha256(key.encode()).hexdigest()[:32]}"
+            self.jobs[self.keys[key]] = list(self.make(spec))
+        return self.keys[key]
+
+    def _rows(self, job: str) -> list[dict]:
+        if job not in self.jobs:
+            raise UpstreamError("UNKNOWN_JOB", f"unknown job {job}")
+        return self.jobs[job]
+
+    def status(self, job: str) -> str:
+        self._rows(job)
+        return "completed"
+
+    def results(self, job: str, cursor: str | None) -> dict:
+        rows, at = self._rows(job), int(cursor or 0)
+        if not 0 <= at <= len(rows):
+            raise UpstreamError("PROTOCOL_ERROR", "no such offset")
+        end = min(at + self.page_size, len(rows))
+        more = end < len(rows)
+        return {"records": rows[at:end], "has_more": more, "next_cursor": str(end) if more else None, "result_schema_version": "1.0"}
+
+    def cancel(self, job: str) -> None:
+        self._rows(job)
+
+
+def all_records(api: JobApi | MemoryJobs, job: str) -> list[tuple]:
+    """Every record of a job, page after page."""
+    reader = PagedReader.__new__(PagedReader)
+    reader.api, reader.job = api, job
+    at, out = reader.initialOffset(), []
+    while not at["done"]:
+        before = at
+        rows, at = reader._page(at)
+        out += rows
+        if at == before:
+            break
+    return out
 
 
 def route(gateways: dict[str, Callable[[], str]], hint: str | None = None, sticky: str | None = None) -> tuple[str, str]:
-    """Submits to the first gateway that takes the job: (gateway, job). The hinted one is tried first; a job that has a gateway stays there; after an ambiguous failure no other is tried."""
-    order = [sticky] if sticky else [*([hint] if hint in gateways else []), *(g for g in gateways if g != hint)]
+    """Submits to the first gateway that takes the job: (gateway, job). The hinted one is tried first, a hint that names none is an error; a job that has a gateway stays there. Another one is tried only after a failure that allows it (fallback) and that can't have left a job behind."""
+    if hint is not None and hint not in gateways:
+        raise UpstreamError("UNKNOWN_GATEWAY", f"unknown gateway {hint}")
+    order = [sticky] if sticky else [*([hint] if hint else []), *(g for g in gateways if g != hint)]
     last: UpstreamError | None = None
     for name in order:
+        if name not in gateways:
+            raise UpstreamError("UNKNOWN_GATEWAY", f"unknown gateway {name}")
         try:
             return name, gateways[name]()
         except UpstreamError as e:
             last = e
-            if e.ambiguous or not e.retryable:
+            if e.ambiguous or not e.fallback:
                 break
-    raise last or UpstreamError("NO_GATEWAY", "no gateway is configured")
+    raise last or UpstreamError("NO_UPSTREAM_GATEWAY", "no gateway is configured")

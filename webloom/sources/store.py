@@ -74,10 +74,16 @@ class Store:
 
 
 def evidence(contents: DataFrame, root: str) -> DataFrame:
-    """Writes each distinct content once, under the first two digits of its digest, and returns its references. contents: (kind, body, headers)."""
+    """Writes each content that is not stored yet once, under the first two digits of its digest, and returns the references of all. contents: (kind, body, headers). Of equal contents the row of the smallest kind and headers is kept."""
     from webloom.functions.text import public_headers
 
+    spark = contents.sparkSession
     c = contents.select("kind", "body", public_headers(F.col("headers")).alias("headers"), F.sha2(F.col("body").cast("binary"), 256).alias("sha256"))
-    first = c.groupBy("sha256").agg(F.first("kind").alias("kind"), F.first("body").alias("body"), F.first("headers").alias("headers"))
-    first.withColumn("prefix", F.substring("sha256", 1, 2)).write.mode("append").partitionBy("prefix").parquet(root)
+    first = c.groupBy("sha256").agg(F.min_by(F.struct("kind", "body", "headers"), F.struct("kind", F.to_json(F.array_sort(F.map_entries("headers"))))).alias("row"))
+    first = first.select("sha256", "row.*", F.substring("sha256", 1, 2).alias("prefix"))
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        stored = spark.read.schema(first.schema).parquet(root).select("sha256")
+        first = first.join(stored, "sha256", "left_anti")
+    first.write.mode("append").partitionBy("prefix").parquet(root)
     return c.select("sha256", F.concat(F.lit("evidence://sha256/"), "sha256", F.lit("/"), "kind").alias("ref"))
