@@ -37,12 +37,12 @@ def _record_id(page_id: int | None, digest: str) -> str:
 def _uri(url: str) -> list[str]:
     """Header lines of a URL: as it is, or as a JSON string where it could not be read back from a line."""
     plain = url == url.strip() and all(ord(c) > 31 and ord(c) != 127 and not 0xD800 <= ord(c) < 0xE000 for c in url)
-    return [f"WARC-Target-URI: {url}"] if plain else [f"WARC-Target-URI: {json.dumps(url)[1:-1]}", "X-Target-URI-Escapes: json"]
+    return [f"WARC-Target-URI: {url}"] if plain else [f"WARC-Target-URI: {json.dumps(url)}", "X-Target-URI-Escapes: json"]
 
 
 def target_uri(head: dict) -> str | None:
     uri = head.get("warc-target-uri")
-    return json.loads(f'"{uri}"') if uri is not None and head.get("x-target-uri-escapes") == "json" else uri
+    return json.loads(uri) if uri is not None and head.get("x-target-uri-escapes") == "json" else uri
 
 
 def record(page_id: int | None, url: str, payload: bytes, digest: str, refers_to: int | None) -> bytes:
