@@ -26,7 +26,7 @@ ROWS = 5  #: registers in a band; a pair of similarity .85 shares none of 24 ban
 BANDS = REGISTERS // ROWS
 MANTISSA = 10
 MARGIN = 0.165  #: five standard errors of the estimate at .85 with 120 registers
-PIVOTS = 64  #: pivots of a shingle in the first round; later ones take 16 times as many, since what has folded by then is not compared
+PIVOTS = 4  #: pivots of a shingle in the first round; each later one takes 8 times as many, since what has folded by then is not compared
 
 _A = np.random.Generator(np.random.PCG64(11)).integers(1, 2**63, REGISTERS, dtype=np.uint64) * U(2) + U(1)
 _B = np.random.Generator(np.random.PCG64(12)).integers(0, 2**63, REGISTERS, dtype=np.uint64)
@@ -193,7 +193,7 @@ def _rows(docs: DataFrame, percent: int, id_col: str, text_col: str) -> DataFram
         members = members.join(sizes, "key")
         if sizes.isEmpty():
             break
-        most = PIVOTS * 16 ** (turn - 1)
+        most = PIVOTS * 8 ** (turn - 1)
         salt = F.when(F.col("size") <= most, F.col("node")).otherwise(F.pmod(F.xxhash64("node"), F.lit(most)))
         first = members.where("small").groupBy("key", salt.alias("salt")).agg(F.min(F.struct("node", "component", "n", "at")).alias("p"))
         pivots = ws.save(first.select("key", F.col("p.node").alias("b"), F.col("p.component").alias("component_b"), F.col("p.n").alias("n_b"), F.col("p.at").alias("at_b")), f"pivots{turn}")
