@@ -1,6 +1,8 @@
 """Change detection: observations in arrival order become documents, snapshots and change events.
 
 The rules are a policy of one number, the absences after which a document counts as missing. In arrival order, for each document: an absence is suspected, or confirmed from that number on; a present row is first seen, restored (after a confirmed absence), revised (other content than the last snapshot), or silent. A document that begins with a confirmed absence can't become present: its present rows are rejected and change nothing. All of it is one sort by document and arrival: windows over the same order share it.
+
+A batch goes on from what is stored: its rows are joined with the documents that state() returned for the rows before them (keys are not null, and all of a batch arrives after what is stored), so nothing is replayed.
 """
 
 from __future__ import annotations
@@ -25,20 +27,26 @@ def admit(incoming: DataFrame, stored: DataFrame | None = None) -> DataFrame:
     return first.withColumn("outcome", outcome).drop("known", "nth")
 
 
-def decide(observations: DataFrame, missing_after: int = 2) -> DataFrame:
-    """Every observation with kind (null: no event), streak, state, made_snapshot, sequence and revision after it."""
+def decide(observations: DataFrame, missing_after: int = 2, stored: DataFrame | None = None) -> DataFrame:
+    """Every observation with kind (null: no event), streak, state, made_snapshot, sequence and revision after it; stored is the state() of the observations before."""
+    old_streak, old_sequence, old_revision, old_hash = F.lit(0), F.lit(0), F.lit(0), F.lit(None).cast("string")
+    if stored is not None:
+        old = stored.select(*KEY, *[F.col(c).alias(f"__{c}") for c in ("missing_streak", "sequence", "revision", "content_hash")])
+        observations = observations.join(old, list(KEY), "left")
+        old_streak, old_sequence, old_revision = (F.coalesce(f"__{c}", F.lit(0)) for c in ("missing_streak", "sequence", "revision"))
+        old_hash = F.col("__content_hash")
     line = Window.partitionBy(*KEY).orderBy("arrival")
     upto = line.rowsBetween(Window.unboundedPreceding, 0)
     earlier = line.rowsBetween(Window.unboundedPreceding, -1)
     o = observations.withColumn("nth", F.row_number().over(line))
     o = o.withColumn("first_present", F.min(F.when(F.col("present"), F.col("nth"))).over(upto))
-    o = o.withColumn("rejected", F.col("present") & (F.col("first_present") > missing_after))
+    o = o.withColumn("rejected", F.col("present") & old_hash.isNull() & (old_streak + F.col("first_present") > missing_after))
     good = F.col("present") & ~F.col("rejected")
     o = o.withColumn("island", F.count_if(good).over(upto))
     inside = Window.partitionBy(*KEY, "island").orderBy("arrival").rowsBetween(Window.unboundedPreceding, 0)
-    o = o.withColumn("streak", F.when(good, 0).otherwise(F.count_if(~F.col("present")).over(inside)))
-    o = o.withColumn("before", F.coalesce(F.lag("streak").over(line), F.lit(0)))
-    o = o.withColumn("last_hash", F.last(F.when(good, F.col("content_hash")), ignorenulls=True).over(earlier))
+    o = o.withColumn("streak", F.when(good, 0).otherwise(F.count_if(~F.col("present")).over(inside) + F.when(F.col("island") == 0, old_streak).otherwise(0)))
+    o = o.withColumn("before", F.coalesce(F.lag("streak").over(line), old_streak))
+    o = o.withColumn("last_hash", F.coalesce(F.last(F.when(good, F.col("content_hash")), ignorenulls=True).over(earlier), old_hash))
     changed = ~F.col("content_hash").eqNullSafe(F.col("last_hash"))
     kind = (
         F.when(F.col("rejected"), None)
@@ -52,8 +60,8 @@ def decide(observations: DataFrame, missing_after: int = 2) -> DataFrame:
     o = o.withColumn("made_snapshot", F.coalesce(good & F.col("kind").isin("first_seen", "revised", "restored") & (F.col("last_hash").isNull() | changed), F.lit(False)))
     state = F.when(F.col("present"), "present").when(F.col("streak") >= missing_after, "missing_confirmed").otherwise("missing_suspected")
     o = o.withColumn("state", F.when(~F.col("rejected"), state))
-    o = o.withColumn("sequence", F.count("kind").over(upto)).withColumn("revision", F.count_if("made_snapshot").over(upto))
-    return o.drop("nth", "first_present", "island", "before")
+    o = o.withColumn("sequence", F.count("kind").over(upto) + old_sequence).withColumn("revision", F.count_if("made_snapshot").over(upto) + old_revision)
+    return o.drop("nth", "first_present", "island", "before", "__missing_streak", "__sequence", "__revision", "__content_hash")
 
 
 def change_events(decided: DataFrame) -> DataFrame:
@@ -80,17 +88,31 @@ def snapshots(decided: DataFrame) -> DataFrame:
     return decided.where("made_snapshot").select(*KEY, document.alias("document_id"), ids.snapshot_id(document, F.col("revision")).alias("snapshot_id"), "revision", "content_hash", "observed_at", F.col("arrival").alias("recorded_order"))
 
 
-def documents(decided: DataFrame) -> DataFrame:
-    """Current state: a partial aggregate by document, no further sort."""
+def state(decided: DataFrame, stored: DataFrame | None = None) -> DataFrame:
+    """What a later batch needs of every document: its current state and the content of its last snapshot. With stored, the documents that this batch does not touch stay as they are."""
     ok = decided.where("not rejected")
-    return ok.groupBy(*KEY).agg(
+    fresh = ok.groupBy(*KEY).agg(
         F.max_by("state", "arrival").alias("state"),
         F.max_by("streak", "arrival").cast("long").alias("missing_streak"),
         F.max("revision").alias("revision"),
         F.max("sequence").alias("sequence"),
         F.min_by("observed_at", "arrival").alias("first_observed_at"),
         F.max("observed_at").alias("last_observed_at"),
+        F.max_by(F.when(F.col("present"), F.col("content_hash")).otherwise(F.col("last_hash")), "arrival").alias("content_hash"),
     )
+    if stored is None:
+        return fresh
+    new, old = fresh.alias("new"), stored.alias("old")
+    both = new.join(old, list(KEY), "full")
+    latest = [F.coalesce(f"new.{c}", f"old.{c}").alias(c) for c in ("state", "missing_streak", "revision", "sequence")]
+    begun = F.coalesce("old.first_observed_at", "new.first_observed_at").alias("first_observed_at")
+    ended = F.greatest("old.last_observed_at", "new.last_observed_at").alias("last_observed_at")
+    return both.select(*KEY, *latest, begun, ended, F.coalesce("new.content_hash", "old.content_hash").alias("content_hash"))
+
+
+def documents(decided: DataFrame, stored: DataFrame | None = None) -> DataFrame:
+    """Current state: a partial aggregate by document, no further sort."""
+    return state(decided, stored).drop("content_hash")
 
 
 def timeline(events: DataFrame, snaps: DataFrame) -> DataFrame:

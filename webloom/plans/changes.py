@@ -95,6 +95,31 @@ def documents_current(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.withColumns({c: F.date_format(c, STAMP) for c in ("first_observed_at", "last_observed_at")})
 
 
+def _in_two_batches(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The observations' first half decided, the state after it, and the second half decided from that state."""
+    rows = observations(spark, sf_dir)
+    middle = (rows.agg(F.max("arrival")).first()[0] or 0) // 2
+    first = history.decide(rows.where(F.col("arrival") <= middle))
+    stored = history.state(first)
+    return first, stored, history.decide(rows.where(F.col("arrival") > middle), stored=stored)
+
+
+@query(ORACLE_SQL["change_events"])
+def history_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events of two batches, the second from the stored state of the first; the same as of a full replay."""
+    first, _, second = _in_two_batches(spark, sf_dir)
+    events = history.change_events(first).unionByName(history.change_events(second))
+    return events.withColumn("effective_observed_at", F.date_format("effective_observed_at", STAMP))
+
+
+@query(ORACLE_SQL["documents_current"])
+def documents_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The state of every document after two batches."""
+    _, stored, second = _in_two_batches(spark, sf_dir)
+    d = history.documents(second, stored)
+    return d.withColumns({c: F.date_format(c, STAMP) for c in ("first_observed_at", "last_observed_at")})
+
+
 @query(
     f"""with {_DECIDED} select scope_key, subject_key, document_id, 'snap_' || substr(sha256('["' || document_id || '","' || revision || '"]'), 1, 32) as snapshot_id, revision, content_hash,
   strftime(observed_at, '{SQL_STAMP}') as observed_at, arrival as recorded_order from decided where made_snapshot"""
