@@ -1,6 +1,6 @@
 """Benchmark decontamination with suffix arrays over shards of the training text.
 
-Each task takes its documents in shards of bounded size, turns words into ids of the benchmark's vocabulary and sorts the shard's suffixes: those whose first words can begin a benchmark window at all, which loses no match. Every benchmark suffix is then binary-searched in the shard, all at once, which gives its longest verbatim match and where it is. No shuffle: the benchmark is the query set, sent in blocks of bounded size, one pass of the rows through each.
+Each task takes its documents in shards of bounded size, turns words into ids of the benchmark's vocabulary and sorts the shard's suffixes: those whose first words can begin a benchmark window at all, which loses no match. Every benchmark window, the beginning of a suffix, is then binary-searched in the shard, all at once, which gives all places where it occurs; SuffixArray.longest() gives a suffix's longest match within a window's length, and no query returns it. No shuffle: the benchmark is the query set, sent in blocks of bounded size, one pass of the rows through each.
 
 Words are lower-cased runs of letters, digits and non-ASCII characters. A window is `window` consecutive words of an item, an item of fewer words is one window. Nulls have no words: such a document has no hits, such an item no windows. Repeated documents each get their row, repeated items with one id count once, ids that are null are left out of the item list. Other columns are ignored; empty tables give no rows, or no hits.
 """
