@@ -3,8 +3,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from webloom.operators import delivery, history, runs
-from webloom.plans.changes import RUNS_NOW, observations, run_table
+from webloom.operators import delivery, history, policies, runs
+from webloom.plans.changes import RUNS_NOW, observations, registry, run_table
 from webloom.sources.store import ConflictError, Store
 from webloom.streaming.history import DocumentState, step, stream_changes
 
@@ -157,3 +157,42 @@ def test_cli(capsys):
     assert json.loads(capsys.readouterr().out.strip().splitlines()[-1]) == ["first_seen", "revised", "missing_suspected"]
     cli.main(["dispatch"])
     assert json.loads(capsys.readouterr().out.strip().splitlines()[-1]) == {"claimed": 1, "delivered": 1, "retried": 0, "blocked": 0}
+
+
+def test_policies(spark):
+    """Each policy names its subjects, ignores what is volatile and counts absences its own way; bad drafts are failures."""
+    cols = "gateway_key string, record_id string, arrival long, content_type_key string, content_schema_version string, present boolean, content string, identity string, attempt_ref string"
+    value, status = ("g", "event.value", "1.0"), ("g", "order.status", "1.0")
+
+    def row(i, kind, content, identity, present=None, attempt=None):
+        return (kind[0], f"r{i}", i, kind[1], kind[2], content is not None if present is None else present, content, identity, attempt)
+
+    rows = [row(i, value, None if a is None else f'{{"amount":{a},"volatile":{i}}}', '{"key":"7"}') for i, a in enumerate([1, 1, None, None, 1])]
+    rows += [row(10 + i, status, None if a is None else f'{{"status":"{a}"}}', '{"order":"7"}', attempt="mine") for i, a in enumerate(["O", None, None, "O"])]
+    rows += [row(20, ("g", "other", "1.0"), "{}", "{}"), row(21, value, None, '{"key":"7"}', present=True), row(22, value, "{}", '{"key":"7"}', present=False), row(23, value, '{"amount":1}', "{}"), row(24, (None, None, None), None, None)]
+    df = spark.createDataFrame(rows, cols).withColumn("observed_at", F.timestamp_seconds("arrival"))
+    known = registry()
+    seen = policies.observe(df, known, F.lit("s"), F.lit("filled"))
+    got = {r.arrival: r for r in seen.collect()}
+    assert [got[i].error for i in (0, 10, 20, 21, 22, 23, 24)] == [None, None, "CONFIGURATION_ERROR", "INVALID_DRAFT", "INVALID_DRAFT", "INVALID_DRAFT", "CONFIGURATION_ERROR"]
+    assert got[0].content_hash == got[1].content_hash and (got[0].attempt_ref, got[10].attempt_ref) == ("filled", "mine")
+    assert len({r.observation_id for r in got.values()}) == len(rows)
+    events = history.change_events(policies.decide(seen, known)).orderBy("event_order").collect()
+    assert [(e.event_order, e.kind) for e in events] == [(0, "first_seen"), (2, "missing_suspected"), (3, "missing_confirmed"), (4, "restored"), (10, "first_seen"), (11, "missing_suspected"), (12, "missing_suspected")]
+    assert len({e.document_id for e in events}) == 2  # the same key in two namespaces
+
+
+def test_registry():
+    known = registry()
+    with pytest.raises(policies.ConfigurationError):
+        known.add(known.policies["event-value"])
+    with pytest.raises(policies.ConfigurationError):
+        known.policy("nothing", "1.0")
+    with pytest.raises(policies.UnsupportedType):
+        known.mapping("nothing", "1.0")
+    twin = policies.Policy("twin", frozenset({("event.value", "1.0")}), "user", F.lower, F.lower)
+    known.add(twin)
+    for ask in (lambda: known.policy("event.value", "1.0"), lambda: known.of_namespace("user")):
+        with pytest.raises(policies.ConfigurationError):
+            ask()
+    assert known.policy("order.status", "1.1").namespace == "order" and known.mapping("orders", "1.0").key == "orders"

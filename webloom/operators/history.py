@@ -7,7 +7,7 @@ A batch goes on from what is stored: its rows are joined with the documents that
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from webloom.functions import ids
@@ -64,10 +64,16 @@ def decide(observations: DataFrame, missing_after: int = 2, stored: DataFrame |
     return o.drop("nth", "first_present", "island", "before", "__missing_streak", "__sequence", "__revision", "__content_hash")
 
 
+def _document(decided: DataFrame) -> Column:
+    """The document's id; rows without a namespace column are of the namespace subject."""
+    namespace = F.col("namespace") if "namespace" in decided.columns else F.lit("subject")
+    return ids.document_id(F.col("scope_key"), namespace, F.col("subject_key"), F.lit("1.0"))
+
+
 def change_events(decided: DataFrame) -> DataFrame:
     """One row for each event, with its snapshots before and after."""
     d = decided.where("kind is not null")
-    document = ids.document_id(F.col("scope_key"), F.lit("subject"), F.col("subject_key"), F.lit("1.0"))
+    document = _document(d)
     made = F.col("made_snapshot").cast("int")
     before = F.when(F.col("revision") - made > 0, F.col("revision") - made)
     return d.select(
@@ -84,7 +90,7 @@ def change_events(decided: DataFrame) -> DataFrame:
 
 
 def snapshots(decided: DataFrame) -> DataFrame:
-    document = ids.document_id(F.col("scope_key"), F.lit("subject"), F.col("subject_key"), F.lit("1.0"))
+    document = _document(decided)
     return decided.where("made_snapshot").select(*KEY, document.alias("document_id"), ids.snapshot_id(document, F.col("revision")).alias("snapshot_id"), "revision", "content_hash", "observed_at", F.col("arrival").alias("recorded_order"))
 
 

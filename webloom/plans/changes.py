@@ -5,11 +5,11 @@ Events play observations (user_id is the subject, event_id the arrival order, an
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webloom.functions import ids
-from webloom.operators import delivery, history, runs
+from webloom.operators import delivery, history, policies, runs
 
 STAMP, SQL_STAMP = "yyyy-MM-dd HH:mm:ss.SSSSSS", "%Y-%m-%d %H:%M:%S.%f"
 OUTBOX_NOW = "2024-01-15 00:00:00"
@@ -165,6 +165,49 @@ def timeline_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def registry() -> policies.Registry:
+    """Events are followed by user and by whole value, orders by their key and status."""
+    made = policies.Registry()
+    at = lambda path: lambda text: F.get_json_object(text, path)
+    made.add(policies.Policy("event-value", frozenset({("event.value", "1.0")}), "user", at("$.key"), at("$.amount")))
+    made.add(policies.Policy("order-status", frozenset({("order.status", "1.0"), ("order.status", "1.1")}), "order", at("$.order"), at("$.status"), missing_after=3))
+    none = F.lit(None).cast("string")
+
+    def draft(rows: DataFrame, name: str, version: Column, key: Column, label: str, present: Column, attempt: Column, **content: Column) -> DataFrame:
+        return rows.select(
+            F.lit(name).alias("gateway_key"), F.col("id").cast("string").alias("record_id"), F.col("id").alias("arrival"), F.lit(name).alias("content_type_key"), version.alias("content_schema_version"), F.col("at").alias("observed_at"), present.alias("present"),
+            F.when(present, ids.canonical_struct(**content)).alias("content"), ids.canonical_struct(**{label: key}).alias("identity"), attempt.alias("attempt_ref"), F.lit(None).cast("timestamp").alias("published_at"),
+        )
+
+    def event(e: DataFrame) -> DataFrame:
+        e = e.withColumn("id", F.col("event_id")).withColumn("at", F.col("ts"))
+        amount = F.floor(F.coalesce("value", F.lit(0.0))).cast("long")
+        return draft(e, "event.value", F.lit("1.0"), F.col("user_id").cast("string"), "key", F.coalesce("event_type", F.lit("")) != "error", none, amount=amount, volatile=F.col("event_type"))
+
+    def order(o: DataFrame) -> DataFrame:
+        o = o.withColumn("id", F.col("o_orderkey")).withColumn("at", F.col("o_orderdate"))
+        version = F.when(F.col("o_orderpriority").startswith("1"), "9.9").otherwise("1.1")
+        return draft(o, "order.status", version, F.col("id").cast("string"), "order", F.col("o_orderstatus") != "P", F.concat(F.lit("own-"), F.col("id").cast("string")), status=F.col("o_orderstatus"))
+
+    made.add(policies.Mapping("events", frozenset({("events", "1.0")}), event))
+    made.add(policies.Mapping("orders", frozenset({("orders", "1.0")}), order))
+    return made
+
+
+@query(
+    """select 'event.value' as gateway_key, event_id::varchar as record_id, 'event-value' as policy_ref, 'user' as namespace, user_id::varchar as subject_key, coalesce(event_type, '') <> 'error' as present,
+  case when coalesce(event_type, '') <> 'error' then sha256(floor(coalesce(value, 0))::bigint::varchar) end as content_hash, 'attempt-1' as attempt_ref, case when user_id is null then 'INVALID_DRAFT' end as error from events
+union all select 'order.status', o_orderkey::varchar, case when own then 'order-status' end, case when own then 'order' end, case when own then o_orderkey::varchar end, o_orderstatus <> 'P',
+  case when own and o_orderstatus <> 'P' then sha256(o_orderstatus) end, 'own-' || o_orderkey, case when not own then 'CONFIGURATION_ERROR' end from (select *, not starts_with(o_orderpriority, '1') as own from orders)"""
+)
+def policy_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records of two collections as observations, by mappings and policies; urgent orders have a version that no policy claims."""
+    known = registry()
+    rows = policies.drafts(_table(spark, sf_dir, "events"), known, "events").unionByName(policies.drafts(_table(spark, sf_dir, "orders"), known, "orders"))
+    seen = policies.observe(rows, known, F.lit("scope-0"), F.lit("attempt-1"))
+    return seen.select("gateway_key", "record_id", "policy_ref", "namespace", "subject_key", "present", "content_hash", "attempt_ref", "error")
+
+
 def _replayed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events, a seventh of them once more, and an eleventh with another value."""
     e = _table(spark, sf_dir, "events").select("event_id", F.concat(F.lit("scope-"), F.pmod("user_id", F.lit(4)).cast("string")).alias("scope_key"), F.coalesce("event_type", F.lit("")).alias("event_type"), F.floor(F.coalesce("value", F.lit(0.0))).cast("long").alias("amount"))
