@@ -104,8 +104,23 @@ def observe(rows: DataFrame, registry: Registry, scope_key: Column, attempt_ref:
     return out.withColumns({"error": error, "observation_id": F.concat(F.lit("obs_"), F.substring(name, 1, 32))})
 
 
-def decide(observed: DataFrame, registry: Registry) -> DataFrame:
-    """history.decide() with each policy's rule for absences: one sort of its own rows for each policy."""
+def decide(observed: DataFrame, registry: Registry, stored: DataFrame | None = None) -> DataFrame:
+    """history.decide() with each policy's rule for absences: one sort of its own rows for each policy. stored: the state() of earlier batches."""
     good = observed.where("error is null")
-    parts = [history.decide(good.where(F.col("policy_ref") == p.ref), p.missing_after) for p in registry.policies.values()]
+    before = lambda p: None if stored is None else stored.where(F.col("policy_ref") == p.ref)
+    parts = [history.decide(good.where(F.col("policy_ref") == p.ref), p.missing_after, before(p)) for p in registry.policies.values()]
     return reduce(DataFrame.unionByName, parts)
+
+
+def state(decided: DataFrame, registry: Registry) -> DataFrame:
+    """history.state() of each policy's documents, which its policy_ref tells apart."""
+    parts = [history.state(decided.where(F.col("policy_ref") == p.ref)).withColumn("policy_ref", F.lit(p.ref)) for p in registry.policies.values()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def latest_state(states: DataFrame | None) -> DataFrame | None:
+    """The last of the states (with wake) that were stored for each document."""
+    if states is None:
+        return None
+    key = ("policy_ref", *history.KEY)
+    return states.groupBy(*key).agg(F.max_by(F.struct(*[c for c in states.columns if c not in key]), "wake").alias("s")).select(*key, "s.*")

@@ -117,17 +117,3 @@ def summarise(outcomes: DataFrame) -> DataFrame:
         F.count_if(F.col("outcome") == "duplicate").alias("duplicates"),
         F.count_if(F.col("outcome").isin("failed", "conflict")).alias("failed"),
     ).withColumn("status", F.when(F.col("failed") > 0, "completed_with_errors").otherwise("completed"))
-
-
-def advance(runs: DataFrame, now: Column, max_attempts: int = 3) -> DataFrame:
-    """Next status of each run from its upstream status, deadline, cancel request and failures in a row (counted for each operation)."""
-    status = (
-        F.when(F.col("status").isin(*TERMINAL), F.col("status"))
-        .when(F.col("cancel_requested"), "cancelled")
-        .when(F.col("deadline_at") <= now, "failed")
-        .when(F.col("failures") >= max_attempts, "failed")
-        .when(F.col("upstream_status") == "failed", "failed")
-        .when((F.col("upstream_status") == "completed") & F.col("drained"), F.when(F.col("record_failures") > 0, "completed_with_errors").otherwise("completed"))
-        .otherwise("running")
-    )
-    return runs.withColumn("status", status)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webloom.functions import ids
-from webloom.operators import delivery, history, policies, runs
+from webloom.operators import delivery, engine, history, policies, runs
 
 STAMP, SQL_STAMP = "yyyy-MM-dd HH:mm:ss.SSSSSS", "%Y-%m-%d %H:%M:%S.%f"
 OUTBOX_NOW = "2024-01-15 00:00:00"
@@ -387,19 +387,106 @@ def run_submission(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.submit(o.where("submitted_order >= 1000"), stored).select("submitted_order", "scope_key", "idempotency_key", "outcome")
 
 
+def _called(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as runs after their calls: some past their deadline, with a cancel request, over their limit, with failed calls, with records nobody takes."""
+    key = F.col("order_key")
+    r = run_table(spark, sf_dir)
+    given = {
+        "job_id": F.when(key % 13 > 0, "job"), "cancel_requested": key % 17 == 0, "deadline_at": F.when(key % 5 == 0, F.col("accepted_at")), "limited": key % 23 == 0, "unsupported": key % 29 == 0, "failures": F.lit(0), "processed": key % 10, "failed": F.lit(0), "changes": F.lit(2), "received": F.lit(4),
+        "cursor": F.lit("4"), "n_new": key % 6, "n_failed": (key % 3 == 2).cast("int"), "n_changes": F.lit(1), "state_version": F.lit(1), "status": F.when(key % 19 == 0, "cancelled").when(key % 2 == 0, "running").otherwise("queued"), "started_at": F.when(key % 2 == 0, F.col("accepted_at")),
+    }
+    state = F.element_at(F.array(*[F.lit(x) for x in ("completed", "running", "failed", "completed", "completed_with_errors", "cancelled", "completed")]), (key % 7 + 1).cast("int"))
+    broken = key % 11 == 0
+    result = F.struct(
+        F.lit("g").alias("gateway_key"), F.lit("job").alias("job_id"), F.lit("9").alias("cursor"), F.lit(9).cast("long").alias("received"), F.when(~broken, state).alias("state"), (~broken & (key % 8 > 0)).alias("drained"), F.lit(False).alias("cancelled"), F.when(broken, key % 4 + 1).otherwise(0).cast("int").alias("failures"),
+        F.when(broken, "BUSY").alias("error_code"), F.when(broken, "try later").alias("error_message"), (key % 3 > 0).alias("retryable"), F.when(key % 6 == 0, 30.0).alias("retry_after"),
+    )
+    fields = [f.split() for f in engine.RUN.split(", ")]
+    r = r.withColumns(given)
+    r = r.withColumns({c: (F.col(c) if c in r.columns else F.lit(None)).cast(t) for c, t in fields})
+    return r.withColumn("result", F.when(key % 5 > 0, result))
+
+
+_CALLED = """called as (select o_orderkey as k, case when k % 19 = 0 then 'cancelled' when k % 2 = 0 then 'running' else 'queued' end as was, coalesce(k % 5 = 0 and o_orderdate <= timestamp '1996-01-01', false) as stop, k % 17 = 0 and k % 13 = 0 as cancelled, k % 29 = 0 as unsupported,
+  k % 5 > 0 as answered, ['completed', 'running', 'failed', 'completed', 'completed_with_errors', 'cancelled', 'completed'][k % 7 + 1] as state, k % 8 > 0 as drained, answered and k % 11 = 0 as broken, (k % 3 = 2 and not unsupported)::int as bad from orders),
+ends as (select *, case when unsupported then 'ENGINE_FAILURE' when broken then 'BUSY' end as code, case when unsupported then 1 when broken then k % 4 + 1 else 0 end as tried from called),
+ended as (select *, case when was = 'cancelled' then was when stop then 'completed_with_errors' when cancelled then 'cancelled' when k % 23 = 0 and not unsupported then 'completed_with_errors' when code is not null and (tried >= 3 or (not unsupported and k % 3 = 0)) then 'failed'
+  when code is not null or not answered or not drained then 'running' when state = 'completed' then case when bad > 0 then 'completed_with_errors' else 'completed' end else state end as status from ends)"""
+
+
 @query(
-    """with r as (select o_orderkey as order_key, case when o_orderkey % 19 = 0 then 'cancelled' else 'queued' end as status from orders)
-select o_orderkey as order_key, case when o_orderkey % 19 = 0 then 'cancelled' when o_orderkey % 17 = 0 then 'cancelled' when o_orderkey % 5 = 0 and o_orderdate <= timestamp '1996-01-01' then 'failed' when o_orderkey % 7 >= 3 and o_orderkey % 2 = 1 then 'failed'
-  when o_orderstatus = 'F' then 'failed' when o_orderstatus = 'P' and o_orderkey % 2 = 0 then case when o_orderkey % 3 > 0 then 'completed_with_errors' else 'completed' end else 'running' end as status from orders"""
+    f"""with {_CALLED} select 'run-' || k as run_id, status, case when was = 'cancelled' or status in ('running', 'completed', 'cancelled') then null when stop then 'DEADLINE_EXCEEDED' when k % 23 = 0 and not unsupported then 'RESULT_LIMIT_REACHED' when code is not null then code when state = 'failed' then 'UPSTREAM_JOB_FAILED' else 'UPSTREAM_COMPLETED_WITH_ERRORS' end as error_code,
+  k % 10 + case when was = 'cancelled' or unsupported then 0 else k % 6 end as processed, case when was = 'cancelled' then 0 else bad end::bigint as failed, case when was = 'cancelled' or unsupported then 2 else 3 end::bigint as changes, case when was = 'cancelled' or unsupported or not answered then '4' else '9' end as cursor,
+  case when was <> 'cancelled' and status = 'running' then case when code is not null then greatest(least(2.0 ** (tried - 1), 60.0), case when answered and k % 6 = 0 then 30.0 else 0 end) when answered and drained then 1.0 else 0.0 end end::double as wait_seconds,
+  case when was = 'cancelled' then 1 else 2 end::bigint as state_version from ended"""
 )
 def run_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The next status of every run."""
-    key = F.col("order_key")
-    r = run_table(spark, sf_dir).withColumns({
-        "cancel_requested": key % 17 == 0, "deadline_at": F.when(key % 5 == 0, F.col("accepted_at")), "failures": F.when(key % 2 == 1, key % 7).otherwise(0), "drained": key % 2 == 0, "record_failures": key % 3,
-        "upstream_status": F.when(F.col("gateway") == "F", "failed").when(F.col("gateway") == "P", "completed").otherwise("running"),
-    })
-    return runs.advance(r, _now("1996-01-01")).select("order_key", "status")
+    """Every run after its calls."""
+    now = _now("1996-01-01")
+    r = engine.transition(_called(spark, sf_dir), now)
+    wait = F.when((F.col("status") == "running"), F.col("next_wakeup_at").cast("double") - now.cast("double"))
+    return r.select("run_id", "status", "error_code", "processed", "failed", "changes", "cursor", wait.alias("wait_seconds"), "state_version")
+
+
+@query(f"with {_RUNS} select run_id, 'queued' as status, 2::bigint as state_version from runs where status <> 'cancelled' and coalesce(lease_until <= timestamp '{RUNS_NOW}', true)")
+def run_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The runs that an interrupted worker left, queued again."""
+    r = run_table(spark, sf_dir).withColumns({"status": F.when(F.col("status") == "queued", "running").otherwise(F.col("status")), "state_version": F.lit(1).cast("long"), "lease_owner": F.lit("w"), "updated_at": F.col("accepted_at")})
+    return engine.recover(r, _now(RUNS_NOW)).select("run_id", "status", "state_version")
+
+
+def _turn_registry() -> policies.Registry:
+    """Turns as records: followed by role, system turns name no subject, every eleventh length is an absence."""
+    known = policies.Registry()
+    known.add(policies.Policy("turns", frozenset({("turn", "1.0")}), "subject", lambda x: F.get_json_object(x, "$.key"), lambda x: F.get_json_object(x, "$.size")))
+
+    def draft(r: DataFrame) -> DataFrame:
+        size = F.get_json_object("r_payload", "$.size")
+        present = size.cast("long") % 11 != 0
+        return r.select(
+            "gateway_key", F.col("r_record_id").alias("record_id"), "arrival", F.lit("turn").alias("content_type_key"), F.lit("1.0").alias("content_schema_version"), F.lit(None).cast("timestamp").alias("observed_at"), present.alias("present"),
+            F.when(present, ids.canonical_struct(size=size)).alias("content"), F.col("r_payload").alias("identity"), F.lit(None).cast("string").alias("attempt_ref"), F.lit(None).cast("timestamp").alias("published_at"),
+        )
+
+    known.add(policies.Mapping("turns", frozenset({("turns", "1.0")}), draft))
+    return known
+
+
+_TURNS = f"""turns as (select conv_id % 20 as run, row_number() over (partition by conv_id % 20 order by conv_id, turn, role, text) as nth, case when role <> 'system' then role || '-' || conv_id % 7 end as subject_key, length(coalesce(text, '')) as size from conversations where conv_id is not null),
+obs as (select (run + 1) * 1000000000 + nth as arrival, run, 'scope-' || run % 4 as scope_key, subject_key, size % 11 <> 0 as present, case when size % 11 <> 0 then sha256(size::varchar) end as content_hash, null::timestamp as observed_at from turns where subject_key is not null),
+{_DECIDED[_DECIDED.index("numbered as"):]}"""
+
+
+@query(
+    f"""with {_TURNS}, told as (select run, count(*) filter (where not coalesce(rejected, false)) as made, count(*) filter (where rejected) as refused, count(kind) as changes from decided group by 1),
+s as (select run, made, refused + (select count(*) from turns t where t.run = told.run and subject_key is null) as failed, changes from told)
+select 'run-' || run as run_id, made as processed, failed, changes, case when run % 5 = 0 then 'running' when run % 4 = 2 then 'failed' when run % 4 = 1 then 'running' when failed > 0 then 'completed_with_errors' else 'completed' end as status from s"""
+)
+def run_wake(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations as the pages of 20 runs, taken through mapping, policy and history in one wake."""
+    from pyspark.sql import Window
+
+    c = _table(spark, sf_dir, "conversations").where("conv_id is not null")
+    run = F.pmod("conv_id", F.lit(20))
+    line = Window.partitionBy(run).orderBy("conv_id", "turn", "role", "text")
+    payload = ids.canonical_struct(key=F.when(F.col("role") != "system", F.concat("role", F.lit("-"), F.pmod("conv_id", F.lit(7)).cast("string"))), size=F.length(F.coalesce("text", F.lit(""))))
+    t = c.select("conv_id", run.alias("run"), payload.alias("payload"), F.row_number().over(line).cast("long").alias("nth"))
+    nothing = F.lit(None).cast("string")
+    fields = {"record_id": F.concat(F.lit("rec-"), F.col("run").cast("string"), F.lit("-"), F.col("nth").cast("string")), "source_type": F.lit("turn"), "schema_version": F.lit("1.0"), "payload": F.col("payload"), "deleted": F.lit(False), "sequence": F.col("nth")}
+    record = F.struct(*[fields.get(n, nothing).alias(n) for n in (f.split()[0] for f in engine.jobs.RECORD.split(", "))])
+    pages = t.groupBy("run", "conv_id").agg(F.min("nth").alias("first"), F.array_sort(F.collect_list(F.struct("nth", record.alias("record")))).alias("r"))
+    pages = pages.select(F.concat(F.lit("run-"), F.col("run").cast("string")).alias("run_id"), F.col("conv_id").cast("int").alias("page"), "first", F.transform("r", lambda x: x["record"]).alias("records"))
+    n = F.col("id")
+    held = spark.range(20).select(F.concat(F.lit("run-"), n.cast("string")).alias("run_id"), F.concat(F.lit("scope-"), (n % 4).cast("string")).alias("scope_key"), F.lit("turns").alias("collection_type"), F.lit("1.0").alias("schema_version"), F.lit("turns").alias("mapping_key"), F.lit("g").alias("gateway_key"), (n + 1).cast("int").alias("claim_order"), F.lit("running").alias("status"), F.lit("job").alias("job_id"))
+    held = held.select("*", *[F.lit(None).cast(k).alias(c) for c, k in (f.split() for f in engine.RUN.split(", ")) if c not in held.columns])
+    known = _turn_registry()
+    consumed = engine.consume(pages, held, known)
+    decided = policies.decide(consumed.where("outcome = 'created'"), known)
+    number = F.substring("run_id", 5, 9).cast("int")
+    state = F.when(number % 4 == 2, "failed").when(number % 4 == 1, "running").otherwise("completed")
+    result = F.struct(*[{"state": state, "drained": number % 5 > 0, "cancelled": F.lit(False)}.get(c, F.lit(None)).cast(k).alias(c) for c, k in (f.split() for f in engine.RESULT.split(", ")[:12])])
+    after = engine.transition(held.withColumn("result", result).join(engine.tally(consumed, decided), "claim_order"), _now(RUNS_NOW))
+    return after.select("run_id", "processed", "failed", "changes", "status")
 
 
 @query("select o_orderkey as order_key, case when o_orderkey % 4 = o_orderkey % 3 then 'saved' else 'stale' end as outcome from orders where o_orderkey % 2 = 0")
