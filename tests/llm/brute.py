@@ -61,6 +61,28 @@ def leaks(docs, bench, n=10):
                 if own := windows.get(tuple(w[k : k + size])):
                     hit.update(range(k, k + size))
                     items |= own
-        names = sorted(str(x) for x in items)
+        names = sorted(str(x) for x in items if x is not None)
         out[i] = (len(w), len(hit), len(names), hashlib.sha256(",".join(names).encode()).hexdigest())
     return out
+
+
+def longest_matches(docs, bench, n=10):
+    """{doc_id: (words, first word, item)} of the longest verbatim match that holds a window"""
+    items = [(None if i is None else str(i), words(t, PLAIN)) for i, t in bench]
+    begins = {}
+    for k, (_, w) in enumerate(items):
+        for j in range(max(1, len(w) - n + 1) if w else 0):
+            begins.setdefault(tuple(w[j : j + n]), []).append((k, j))
+    sizes = {len(w) for w in begins}
+    out = {}
+    for i, text in docs:
+        w, found = words(text, PLAIN), []
+        for p in range(len(w)):
+            for k, j in [x for s in sizes if p + s <= len(w) for x in begins.get(tuple(w[p : p + s]), ())]:
+                own, size = items[k][1], 0
+                while p + size < len(w) and j + size < len(own) and w[p + size] == own[j + size]:
+                    size += 1
+                found.append((-size, p, items[k][0] is None, items[k][0] or ""))
+        best = min(found, default=None)
+        out[i] = (0, None, None) if best is None else (-best[0], best[1], None if best[2] else best[3])
+    return out
