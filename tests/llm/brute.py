@@ -1,6 +1,7 @@
 """Plain Python versions of the operators, straight from their contracts."""
 
 import hashlib
+import math
 import re
 
 SPACED = re.compile(r"[^\x20\x09-\x0D]+")
@@ -86,3 +87,40 @@ def longest_matches(docs, bench, n=10):
         best = min(found, default=None)
         out[i] = (0, None, None) if best is None else (-best[0], best[1], None if best[2] else best[3])
     return out
+
+
+def url_odds(pages, ruled, longest=24):
+    """pages: (host, path, html), ruled: verdict or None of each -> log odds of block of each page"""
+    text = re.compile(r"<(script|style)\b.*?</\1>", re.I | re.S)
+    lexicon = {}
+    for _, _, html in pages:
+        for w in re.findall("[a-z]+", re.sub("<[^>]*>", " ", text.sub(" ", html or "")).translate(UP)):
+            if len(w) <= longest:
+                lexicon[w] = lexicon.get(w, 0) + 1
+    total = sum(lexicon.values())
+
+    def split(name):
+        best = [(0.0, ())] + [None] * len(name)
+        for end in range(1, len(name) + 1):
+            for start in range(max(0, end - longest), end):
+                w = name[start:end]
+                cost = best[start][0] + (-math.log(lexicon[w] / total) if w in lexicon else math.log(total / 10) + len(w) * math.log(10))
+                if best[end] is None or cost < best[end][0]:
+                    best[end] = cost, (*best[start][1], w)
+        return best[-1][1]
+
+    def tokens(kind, x):
+        for run in re.findall(r"[a-z]+|[0-9]+|[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", x.translate(UP)):
+            for w in split(run) if "a" <= run[0] <= "z" else ("#" * len(run) if "0" <= run[0] <= "9" else run,):
+                yield kind, w
+
+    made = [[*tokens("h", host), *tokens("p", path)] for host, path, _ in pages]
+    n = {"block": {}, "allow": {}}
+    for ts, verdict in zip(made, ruled, strict=True):
+        for t in ts if verdict else ():
+            n[verdict][t] = n[verdict].get(t, 0) + 1
+    known = n["block"].keys() | n["allow"].keys()
+    size = {v: sum(n[v].values()) + len(known) for v in n}
+    prior = math.log(ruled.count("block") / ruled.count("allow"))
+    log = lambda t, v: math.log((n[v].get(t, 0) + 1) / size[v])
+    return [prior + sum(log(t, "block") - log(t, "allow") for t in ts if t in known) for ts in made]

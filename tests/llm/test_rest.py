@@ -68,6 +68,7 @@ def test_url_rules(spark, sf):
     extra = [(-1, None, "x"), (-2, "nohost", None), (-3, "http://EXAMPLE.com/en/7?x#y", ""), (-4, "https://org/es/", ""), (-5, "http://xorg/es/1", "")]
     rows = pages.select("page_id", "url", "html").unionByName(spark.createDataFrame(extra, "page_id long, url string, html string"))
     known = {r.page_id: r.url for r in rows.collect()}
+    html = {r.page_id: r.html for r in rows.collect()}
     out = urls.url_verdicts(rows).collect()
     assert len(out) == len(known)
     for r in out:
@@ -80,10 +81,27 @@ def test_url_rules(spark, sf):
         assert (r.host, r.path, r.rule) == (host, path, best[0]) and r.verdict == (best[1] or r.verdict) and r.verdict in ("allow", "block")
 
 
+    odds = brute.url_odds([(r.host, r.path, html[r.page_id]) for r in out], [dict((x, k) for k, x in urls.RULES).get(r.rule) for r in out])
+    for r, o in zip(out, odds, strict=True):
+        assert abs(r.log_odds - o) < 1e-6 and (r.rule or r.verdict == ("block" if o > 1e-9 else "allow"))
+
+
+def test_url_edges(spark):
+    """Repeated rows, an empty table, a very long url, other columns, no page of a class."""
+    long = "http://en.com/" + "ab" * 10_000
+    rows = [(1, "http://a.com/en/cheaploansnow", "cheap loans now <b>cheap</b>", 0), (1, "http://a.com/en/cheaploansnow", None, 0), (2, "http://b.net/de/kindwords", "kind words", 1), (3, long, "ab", 2), (4, "http://c.io/cheap-kind", "", 3), (5, None, None, 4), (None, "x", "x", 5)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, host int").withColumn("verdict", F.lit("z"))
+    got = urls.url_verdicts(df).collect()
+    assert sorted((r.page_id or 0, r.verdict) for r in got if r.rule) == [(1, "block"), (1, "block"), (2, "allow")] and len(got) == 7
+    assert urls.url_verdicts(df.limit(0)).count() == 0
+    assert {r.verdict for r in urls.url_verdicts(df.where("page_id > 2")).collect()} == {"allow"}
+
+
 def test_segmentation():
-    s = urls.Segmenter({"cheap": 50, "loans": 40, "now": 60, "an": 90, "so": 80}, 400)
-    assert s.split("cheaploansnow") == ("cheap", "loans", "now") and s.split("") == ()
-    assert urls.tokens("cheap-loans12.com", "/A/bc", s)[:3] == ["h:cheap", "h:loans", "h:##"]
+    counts = {"cheap": 50, "loans": 40, "now": 60, "an": 90, "so": 80}
+    name = "cheaploansnow"
+    known = {(i, len(w)): n for w, n in counts.items() for i in range(len(name)) if name.startswith(w, i)}
+    assert urls.segment(name, known, 400) == ["cheap", "loans", "now"] and urls.segment("", {}, 0) == []
 
 
 def test_license_query_is_native(spark, sf):

@@ -1,32 +1,27 @@
 """URL filters: rules first, then naive Bayes over segmented hosts and paths.
 
-A rule (host, path) fits its host and all subdomains, if the url's path starts with the rule's; the longest rule decides. Urls that no rule fits are judged by multinomial naive Bayes, learned from those that a rule decides: tokens are the words of the host's labels and of the path. Labels are concatenated names, which Viterbi splits into the words of the largest unigram probability; unigram counts come from the visible words of all pages.
+A rule (host, path) fits its host and all subdomains, if the url's path starts with the rule's; the longest rule decides. Urls that no rule fits are judged by multinomial naive Bayes, learned from those that a rule decides: tokens are the words of host and path. Letter runs are concatenated names, which Viterbi splits into the words of the largest unigram probability; unigram counts come from the visible words of all pages, of up to LONGEST letters. A letter run that no word covers costs as Norvig's unknown words do, 10 / (N * 10^length).
 
-The lexicon that is sent to the tasks holds the LEXICON most frequent words (ties by word), and token counts go to FEATURES hashed cells, so both have a fixed bound; counts behind them are over all pages. A letter run that no lexicon word covers costs as Norvig's unknown words do, 10 / (N * 10^length).
+There is no lexicon to send: each distinct run is joined with the counts of all words that stand in it, and each distinct token with its counts, so every word and token counts at any size. Rule, verdict and odds are worked out once for each distinct url. A join whose key can be hot sends the keys that hold a HOT-th of the rows, at most HOT of them, and shuffles the rest.
 
 Null urls and urls without :// have an empty host and path and no tokens: their verdict is that of the prior. Ties between classes allow. Without any rule's page of a class both are as likely. Repeated rows stay, null html has no words, other columns are ignored, an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import functools
 import math
-import re
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webloom.session import Workspace, ship
 
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
-LEXICON = 100_000
-FEATURES = 1 << 16
-LONGEST = 24  #: letters of a lexicon word at most
+LONGEST = 24  #: letters of a word at most
+SHORT = 3  #: words of up to so many letters, 18,278 at most, are sent to the tasks
+HOT = 1000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -49,103 +44,102 @@ def matched(host: Column, path: Column, rules: tuple = RULES) -> tuple[Column, C
 
 
 def word_counts(pages: DataFrame) -> DataFrame:
-    """Counts of the lower-cased ASCII words of all pages' visible text."""
+    """Counts of the lower-cased words of A-Z of all pages' visible text."""
     visible = F.regexp_replace(F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1>", " "), r"<[^>]*>", " ")
     words = F.explode(F.split(F.translate(visible, UPPER, LOWER), "[^a-z]+"))
     return pages.select(words.alias("word")).where(f"word != '' and length(word) <= {LONGEST}").groupBy("word").agg(F.count("*").alias("n"))
 
 
-class Segmenter:
-    """Splits letter runs into words by unigram Viterbi."""
-
-    def __init__(self, counts: dict[str, int], total: int):
-        self.total = max(total, 1)
-        self.cost = {w: -math.log(c / self.total) for w, c in counts.items()}
-        self.unknown = [math.log(self.total / 10) + k * math.log(10) for k in range(LONGEST + 1)]
-        self.split = functools.lru_cache(maxsize=50_000)(self._split)
-
-    def _split(self, name: str) -> tuple[str, ...]:
-        n = len(name)
-        best, back = [0.0] + [math.inf] * n, [0] * (n + 1)
-        for end in range(1, n + 1):
-            for start in range(max(0, end - LONGEST), end):
-                word = name[start:end]
-                cost = best[start] + self.cost.get(word, self.unknown[end - start])
-                if cost < best[end]:
-                    best[end], back[end] = cost, start
-        out, end = [], n
-        while end:
-            out.append(name[back[end] : end])
-            end = back[end]
-        return tuple(out[::-1])
-
-
-_LETTERS = re.compile(r"[a-z]+|[0-9]+|[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
-
-
-def tokens(host: str, path: str, segmenter: Segmenter) -> list[str]:
-    """h: words of host labels, p: words of the path; digits become their number."""
-    out = []
-    for label in host.split(".") if host else []:
-        for run in _LETTERS.findall(label):
-            if "a" <= run[0] <= "z":
-                out += ["h:" + w for w in segmenter.split(run)]
-            else:
-                out.append("h:" + ("#" * len(run) if run.isdigit() else run))
-    for run in _LETTERS.findall(path.translate(str.maketrans(UPPER, LOWER))):
-        out.append("p:" + ("#" * len(run) if run.isdigit() else run))
-    return out
-
-
-def _features(lexicon):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        segmenter = Segmenter(*lexicon.value)
+def segment(name: str, counts: dict[tuple[int, int], int], total: int) -> list[str]:
+    """The words of a letter run by unigram Viterbi; counts: of the known words in it, by start and length."""
+    unknown = [math.log(max(total, 1) / 10) + k * math.log(10) for k in range(LONGEST + 1)]
+    n = len(name)
+    best, back = [0.0] + [math.inf] * n, [0] * (n + 1)
+    for end in range(1, n + 1):
+        for start in range(max(0, end - LONGEST), end):
+            seen = counts.get((start, end - start))
+            cost = best[start] + (unknown[end - start] if seen is None else -math.log(seen / total))
+            if cost < best[end]:
+                best[end], back[end] = cost, start
+    out, end = [], n
+    while end:
+        out.append(name[back[end] : end])
+        end = back[end]
+    return out[::-1]
+
+
+def segmented(names: DataFrame, counts: DataFrame, total: int) -> DataFrame:
+    """run, words of each distinct letter run of names (run)."""
+    at = F.explode(F.sequence(F.lit(1), F.length("run")))
+    ends = F.explode(F.sequence(F.lit(1), F.least(F.length("run") - F.col("at") + 1, F.lit(LONGEST))))
+    parts = names.select("run", at.alias("at")).select("run", "at", ends.alias("size")).withColumn("word", F.expr("substring(run, at, size)"))
+    short = parts.where(f"size <= {SHORT}").join(F.broadcast(counts.where(f"length(word) <= {SHORT}")), "word")
+    rest = parts.where(f"size > {SHORT}").join(counts.where(f"length(word) > {SHORT}"), "word")
+    none = names.select("run", F.lit(0).alias("at"), F.lit(0).alias("size"), F.lit(0).cast("long").alias("n"))
+    found = short.unionByName(rest).select("run", "at", "size", "n").unionByName(none)
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = [tokens(h, p, segmenter) for h, p in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
-            cells = [[xxhash.xxh64_intdigest(t) % FEATURES for t in ts] for ts in made]
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(5)), pa.array([" ".join(ts) for ts in made]), pa.array(cells, pa.list_(pa.int32()))], names=["page_id", "host", "path", "rule", "verdict", "tokens", "cells"])
+            made = [segment(run, {(x["at"] - 1, x["size"]): x["n"] for x in known if x["size"]}, total) for run, known in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.list_(pa.string()))], names=["run", "words"])
 
-    return run
+    return found.groupBy("run").agg(F.collect_list(F.struct("at", "size", "n"))).mapInArrow(split, "run string, words array<string>")
 
 
-def _judge(model):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, prior = model.value
-        for b in batches:
-            cells = b.column(6)
-            flat = cells.flatten().to_numpy()
-            n = np.asarray(pc.list_value_length(cells))
-            odds = prior + np.bincount(np.repeat(np.arange(len(n)), n), weights=weights[flat], minlength=len(n))
-            ruled = b.column(4).to_pylist()
-            verdict = [r or ("block" if o > 0 else "allow") for r, o in zip(ruled, odds, strict=True)]
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(4)), pa.array(verdict), b.column(5), pa.array(odds)], names=["page_id", "host", "path", "rule", "verdict", "tokens", "log_odds"])
+_RUNS = r"[a-z]+|[0-9]+|[^\x00-\x2f\x3a-\x60\x7b-\x7f]+"
+
+
+def runs_of(kind: str, text: Column) -> Column:
+    """Runs of letters, digits, or other characters, as (kind, run); digits become their number."""
+    return F.transform(F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(_RUNS), F.lit(0)), lambda x: F.struct(F.lit(kind).alias("kind"), F.when(x.rlike(r"\A[0-9]"), F.repeat(F.lit("#"), F.length(x))).otherwise(x).alias("run")))
+
+
+def hot_join(left: DataFrame, right: DataFrame, keys: list[str], rows: str) -> DataFrame:
+    """Inner join with right, one row a key, that tells in `rows` how many rows of left the key has."""
+    total = right.agg(F.sum(rows)).first()[0] or 0
+    hot = F.broadcast(right.where(F.col(rows) * HOT >= total))
+    cold = left.join(F.broadcast(right.where(F.col(rows) * HOT >= total).select(*keys)), keys, "left_anti")
+    return left.join(hot, keys).unionByName(cold.join(right.where(F.col(rows) * HOT < total), keys))
+
 
-    return run
+def url_odds(urls: DataFrame, counts: DataFrame, ws: Workspace) -> DataFrame:
+    """uid and log odds of block, without the prior, of distinct urls: uid, host, path, verdict (null: no rule's), n (pages). Urls without tokens are left out."""
+    total = int(counts.agg(F.sum("n")).first()[0] or 0)
+    part = F.explode(F.concat(runs_of("h", F.col("host")), runs_of("p", F.col("path"))))
+    runs = urls.select("uid", "verdict", "n", part.alias("r")).groupBy("uid", "verdict", "n", "r").agg(F.count("*").alias("m"))
+    runs = ws.save(runs.select("uid", "verdict", "n", "r.kind", "r.run", "m"), "runs")
+    of = lambda v: F.coalesce(F.sum(F.when(F.col("verdict") == v, F.col("n") * F.col("m"))), F.lit(0))
+    known = ws.save(runs.groupBy("kind", "run").agg(of("block").alias("block"), of("allow").alias("allow"), F.count("*").alias("rows")), "known")
+    names = known.where(F.col("run").rlike(r"\A[a-z]")).select("run").distinct()
+    words = ws.save(segmented(names, counts, total), "split")
+    token = F.explode(F.coalesce("words", F.array("run")))
+    tokens = ws.save(known.join(words, "run", "left").select("kind", "run", "block", "allow", "rows", token.alias("word")), "tokens")
+    seen = ws.save(tokens.groupBy("kind", "word").agg(F.sum("block").alias("block"), F.sum("allow").alias("allow"), F.count("*").alias("held")), "seen")
+    taught = seen.where("block + allow > 0")
+    s = taught.agg(F.sum("block").alias("block"), F.sum("allow").alias("allow"), F.count("*").alias("n")).first()
+    one = lambda c: F.log((F.col(c) + 1) / F.lit(float((s[c] or 0) + max(1, s["n"]))))
+    weight = F.when(F.col("block") + F.col("allow") > 0, one("block") - one("allow")).otherwise(0.0)
+    scored = hot_join(tokens.select("kind", "run", "rows", "word"), seen.select("kind", "word", "held", weight.alias("weight")), ["kind", "word"], "held")
+    scored = ws.save(scored.groupBy("kind", "run", "rows").agg(F.sum("weight").alias("weight")), "weights")
+    return hot_join(runs.select("uid", "kind", "run", "m"), scored, ["kind", "run"], "rows").groupBy("uid").agg(F.sum(F.col("weight") * F.col("m")).alias("odds"))
 
 
-def url_verdicts(pages: DataFrame, rules: tuple = RULES, lexicon: int = LEXICON) -> DataFrame:
-    """page_id, host, path, rule, verdict, tokens, log_odds (of block)."""
+def url_verdicts(pages: DataFrame, rules: tuple = RULES) -> DataFrame:
+    """page_id, host, path, rule, verdict, log_odds (of block)."""
     spark = pages.sparkSession
     ship(spark)
     ws = Workspace(spark, "urls")
-    counts = ws.save(word_counts(pages), "words")
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    words = {r.word: r.n for r in counts.orderBy(F.desc("n"), "word").limit(lexicon).collect()}
     host, path = host_and_path(F.col("url").cast("string"))
-    p = pages.select("page_id", host.alias("host"), path.alias("path"))
+    p = pages.select("page_id", F.coalesce(host, F.lit("")).alias("host"), F.coalesce(path, F.lit("")).alias("path"))
     rule, verdict = matched(F.col("host"), F.col("path"), rules)
-    p = p.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("verdict"))
-    kind = p.schema["page_id"].dataType.simpleString()
-    known = f"page_id {kind}, host string, path string, rule string, "
-    cells = ws.save(p.mapInArrow(_features(spark.sparkContext.broadcast((words, int(total)))), known + "verdict string, tokens string, cells array<int>"), "cells")
-    ruled = cells.where("verdict is not null")
-    n = {r.verdict: r["count"] for r in ruled.groupBy("verdict").count().collect()}
-    seen = ruled.select("verdict", F.explode("cells").alias("cell")).groupBy("cell").agg(F.count_if(F.col("verdict") == "block").alias("block"), F.count_if(F.col("verdict") == "allow").alias("allow")).collect()
-    count = np.zeros((2, FEATURES))
-    for r in seen:
-        count[:, r.cell] = r.block, r.allow
-    used = max(1, len(seen))
-    logs = np.log((count + 1) / (count.sum(axis=1, keepdims=True) + used))
-    weights = np.where(count.sum(axis=0) > 0, logs[0] - logs[1], 0.0) if n.get("block") and n.get("allow") else np.zeros(FEATURES)
-    prior = math.log(n["block"] / n["allow"]) if n.get("block") and n.get("allow") else 0.0
-    return cells.mapInArrow(_judge(spark.sparkContext.broadcast((weights, prior))), known + "verdict string, tokens string, log_odds double")
+    urls = p.groupBy("host", "path").agg(F.count("*").alias("n"))
+    urls = ws.save(urls.select("host", "path", "n", rule.alias("rule"), verdict.alias("verdict")).withColumn("uid", F.monotonically_increasing_id()), "urls")
+    n = {r.verdict: r.n for r in urls.where("verdict is not null").groupBy("verdict").agg(F.sum("n").alias("n")).collect()}
+    odds = F.lit(0.0)
+    if n.get("block") and n.get("allow"):
+        counts = ws.save(word_counts(pages), "words")
+        urls = urls.join(url_odds(urls, counts, ws), "uid", "left")
+        odds = F.coalesce("odds", F.lit(0.0)) + math.log(n["block"] / n["allow"])
+    judged = F.coalesce("verdict", F.when(F.round("log_odds", 9) > 0, "block").otherwise("allow"))
+    urls = ws.save(urls.withColumn("log_odds", odds).select("host", "path", "n", "rule", judged.alias("verdict"), "log_odds"), "judged")
+    return hot_join(p, urls, ["host", "path"], "n").select("page_id", "host", "path", "rule", "verdict", "log_odds")
