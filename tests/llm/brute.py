@@ -124,3 +124,28 @@ def url_odds(pages, ruled, longest=24):
     prior = math.log(ruled.count("block") / ruled.count("allow"))
     log = lambda t, v: math.log((n[v].get(t, 0) + 1) / size[v])
     return [prior + sum(log(t, "block") - log(t, "allow") for t in ts if t in known) for ts in made]
+
+
+def licenses(files, templates, speaks, license_file, least):
+    """files: (path, text) -> (license, score) of each by whole TF-IDF vectors, None without one"""
+    split = lambda t: [w for w in re.split(r"[^\w]+|_", t.lower()) if w]
+    forms = [(name, split(f)) for name in sorted(templates) for f in templates[name].split("|")]
+    vocabulary = {w for _, f in forms for w in f}
+    df = {w: sum(w in set(split(t or "")) for _, t in files) for w in vocabulary}
+    idf = lambda w: math.log((len(files) + 1) / (df.get(w, 0) + 1)) + 1
+    vector = lambda ws: {w: ws.count(w) * idf(w) for w in set(ws)}
+    size = lambda v: math.sqrt(sum(x * x for x in v.values()))
+    known = [(name, vector(f)) for name, f in forms]
+    out = []
+    for path, text in files:
+        found = [x for x in re.split(r"\r\n|[\n\r\x0b\x0c\x85\u2028\u2029]|(?<=[.!?;])[ \t\n\x0b\f\r]+", text or "") + re.split(r"\n[ \t]*\n", text or "") if re.search(speaks, x)]
+        if re.search(license_file, (path or "").split("/")[-1]) and re.search(speaks, text or ""):
+            found.append(text)
+        best = None
+        for v in (vector(split(x)) for x in found):
+            for order, (name, t) in enumerate(known):
+                score = round(sum(v[w] * t[w] for w in v.keys() & t.keys()) / (size(v) * size(t)), 6)
+                if score >= least and (best is None or (score, -order) > best[:2]):
+                    best = (score, -order, name)
+        out.append(best and (best[2], best[0]))
+    return out

@@ -104,6 +104,20 @@ def test_segmentation():
     assert urls.segment(name, known, 400) == ["cheap", "loans", "now"] and urls.segment("", {}, 0) == []
 
 
+def test_license_cosine(spark, sf):
+    """Own licenses against plain vectors: all documents, headers of several lines, repeated words, a very long line, ties, other columns."""
+    rows = [(r.doc_id, r.path, r.text) for r in licenses.as_files(spark.read.parquet(f"{sf}/documents.parquet")).collect()]
+    full = licenses.TEMPLATES["MIT"].split("|")[0]
+    rows += [(-1, "z/LICENSE", full.replace(" copy ", "\n copy ") + "\n\nmore words"), (-2, "z/a", "license license license mit"), (-3, None, "permission " * 30_000), (-4, "COPYING", full.replace(",", ",\n")), (-5, "z/a", "Released under the MIT License. Licensed under CC BY-NC 4.0."), (-5, "z/a", None), (-6, "z/b", "license , .")]
+    df = spark.createDataFrame(rows, "doc_id long, path string, text string").withColumn("license", F.lit("x")).withColumn("dir", F.lit(1))
+    got = {(r.doc_id, r.path): (r.own_license and (r.own_license, r.own_score)) for r in licenses.scan(df).collect() if r.doc_id != -5}
+    want = brute.licenses([(p, t) for _, p, t in rows], licenses.TEMPLATES, licenses.LICENSE_WORD, licenses.LICENSE_FILE, licenses.MIN_COSINE)
+    want = {r[:2]: w for r, w in zip(rows, want, strict=True) if r[0] != -5}
+    assert got.keys() == want.keys()
+    for k, w in want.items():
+        assert (got[k] is None) == (w is None) and (w is None or (got[k][0] == w[0] and abs(got[k][1] - w[1]) < 2e-6)), (k, got[k], w)
+
+
 def test_license_query_is_native(spark, sf):
     plan = queries.op6_license_scan(spark, sf)._jdf.queryExecution().executedPlan().toString()
     chat_plan = queries.op10_chat_formatting(spark, sf)._jdf.queryExecution().executedPlan().toString()

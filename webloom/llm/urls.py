@@ -2,7 +2,7 @@
 
 A rule (host, path) fits its host and all subdomains, if the url's path starts with the rule's; the longest rule decides. Urls that no rule fits are judged by multinomial naive Bayes, learned from those that a rule decides: tokens are the words of host and path. Letter runs are concatenated names, which Viterbi splits into the words of the largest unigram probability; unigram counts come from the visible words of all pages, of up to LONGEST letters. A letter run that no word covers costs as Norvig's unknown words do, 10 / (N * 10^length).
 
-There is no lexicon to send: each distinct run is joined with the counts of all words that stand in it, and each distinct token with its counts, so every word and token counts at any size. Rule, verdict and odds are worked out once for each distinct url. A join whose key can be hot sends the keys that hold a HOT-th of the rows, at most HOT of them, and shuffles the rest.
+There is no lexicon to send: each distinct run is joined with the counts of all words that stand in it, and each distinct token with its counts, so every word and token counts at any size. Rule, verdict and odds are worked out once for each distinct url. Joins whose key can be hot are split (joins.hot_join).
 
 Null urls and urls without :// have an empty host and path and no tokens: their verdict is that of the prior. Ties between classes allow. Without any rule's page of a class both are as likely. Repeated rows stay, null html has no words, other columns are ignored, an empty table gives no rows.
 """
@@ -16,12 +16,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from webloom.llm.joins import hot_join
 from webloom.session import Workspace, ship
 
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
 LONGEST = 24  #: letters of a word at most
 SHORT = 3  #: words of up to so many letters, 18,278 at most, are sent to the tasks
-HOT = 1000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -94,14 +94,6 @@ def runs_of(kind: str, text: Column) -> Column:
     return F.transform(F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(_RUNS), F.lit(0)), lambda x: F.struct(F.lit(kind).alias("kind"), F.when(x.rlike(r"\A[0-9]"), F.repeat(F.lit("#"), F.length(x))).otherwise(x).alias("run")))
 
 
-def hot_join(left: DataFrame, right: DataFrame, keys: list[str], rows: str) -> DataFrame:
-    """Inner join with right, one row a key, that tells in `rows` how many rows of left the key has."""
-    total = right.agg(F.sum(rows)).first()[0] or 0
-    hot = F.broadcast(right.where(F.col(rows) * HOT >= total))
-    cold = left.join(F.broadcast(right.where(F.col(rows) * HOT >= total).select(*keys)), keys, "left_anti")
-    return left.join(hot, keys).unionByName(cold.join(right.where(F.col(rows) * HOT < total), keys))
-
-
 def url_odds(urls: DataFrame, counts: DataFrame, ws: Workspace) -> DataFrame:
     """uid and log odds of block, without the prior, of distinct urls: uid, host, path, verdict (null: no rule's), n (pages). Urls without tokens are left out."""
     total = int(counts.agg(F.sum("n")).first()[0] or 0)
