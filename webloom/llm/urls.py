@@ -69,21 +69,20 @@ def segment(name: str, counts: dict[tuple[int, int], int], total: int) -> list[s
 
 
 def segmented(names: DataFrame, counts: DataFrame, total: int) -> DataFrame:
-    """run, words of each distinct letter run of names (run)."""
+    """run, words of each distinct letter run of names (nid, run). A run's number stands for it on the way, so that a very long one is not sent with each of its parts."""
     at = F.explode(F.sequence(F.lit(1), F.length("run")))
-    ends = F.explode(F.sequence(F.lit(1), F.least(F.length("run") - F.col("at") + 1, F.lit(LONGEST))))
-    parts = names.select("run", at.alias("at")).select("run", "at", ends.alias("size")).withColumn("word", F.expr("substring(run, at, size)"))
+    tails = names.select("nid", "run", at.alias("at")).select("nid", "at", F.expr(f"substring(run, at, {LONGEST})").alias("tail"))
+    parts = tails.select("nid", "at", "tail", F.explode(F.sequence(F.lit(1), F.length("tail"))).alias("size")).select("nid", "at", "size", F.expr("substring(tail, 1, size)").alias("word"))
     short = parts.where(f"size <= {SHORT}").join(F.broadcast(counts.where(f"length(word) <= {SHORT}")), "word")
     rest = parts.where(f"size > {SHORT}").join(counts.where(f"length(word) > {SHORT}"), "word")
-    none = names.select("run", F.lit(0).alias("at"), F.lit(0).alias("size"), F.lit(0).cast("long").alias("n"))
-    found = short.unionByName(rest).select("run", "at", "size", "n").unionByName(none)
+    found = short.unionByName(rest).groupBy("nid").agg(F.collect_list(F.struct("at", "size", "n")).alias("known"))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = [segment(run, {(x["at"] - 1, x["size"]): x["n"] for x in known if x["size"]}, total) for run, known in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+            made = [segment(run, {(x["at"] - 1, x["size"]): x["n"] for x in known or ()}, total) for run, known in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.list_(pa.string()))], names=["run", "words"])
 
-    return found.groupBy("run").agg(F.collect_list(F.struct("at", "size", "n"))).mapInArrow(split, "run string, words array<string>")
+    return names.join(found, "nid", "left").select("run", "known").mapInArrow(split, "run string, words array<string>")
 
 
 _RUNS = r"[a-z]+|[0-9]+|[^\x00-\x2f\x3a-\x60\x7b-\x7f]+"
@@ -102,7 +101,7 @@ def url_odds(urls: DataFrame, counts: DataFrame, ws: Workspace) -> DataFrame:
     runs = ws.save(runs.select("uid", "verdict", "n", "r.kind", "r.run", "m"), "runs")
     of = lambda v: F.coalesce(F.sum(F.when(F.col("verdict") == v, F.col("n") * F.col("m"))), F.lit(0))
     known = ws.save(runs.groupBy("kind", "run").agg(of("block").alias("block"), of("allow").alias("allow"), F.count("*").alias("rows")), "known")
-    names = known.where(F.col("run").rlike(r"\A[a-z]")).select("run").distinct()
+    names = ws.save(known.where(F.col("run").rlike(r"\A[a-z]")).select("run").distinct().withColumn("nid", F.monotonically_increasing_id()), "names")
     words = ws.save(segmented(names, counts, total), "split")
     token = F.explode(F.coalesce("words", F.array("run")))
     tokens = ws.save(known.join(words, "run", "left").select("kind", "run", "block", "allow", "rows", token.alias("word")), "tokens")
