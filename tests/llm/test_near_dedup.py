@@ -1,6 +1,9 @@
+from pathlib import Path
+
 from tests.llm import brute
 from webloom.llm import near_dedup
 from webloom.llm.near_dedup import estimate, kept_documents, near_duplicates, registers
+from webloom.session import shared_root
 
 import numpy as np
 import pytest
@@ -76,3 +79,14 @@ def test_estimate():
         n = int(3000 * 2 * share / (1 + share))
         y = np.concatenate([x[:n], rng.integers(0, 2**63, 3000 - n, dtype=np.uint64)])
         assert abs(estimate(registers(x), registers(y)) - share) < 0.17
+
+
+def test_only_what_the_result_is_read_from_stays(spark):
+    words = [f"w{k}" for k in range(60)]
+    df = spark.createDataFrame([(i, " ".join(words[:58] + [f"x{i}"])) for i in range(5)], "doc_id long, text string")
+    top = Path(shared_root(spark).removeprefix("file://")) / "webloom"
+    before = set(top.glob("near-*"))
+    kept = kept_documents(df)
+    (made,) = set(top.glob("near-*")) - before
+    assert {p.name for p in made.iterdir() if not p.name.startswith(".")} == {"sketch", "final"}
+    assert [r.doc_id for r in kept.collect()] == [0]

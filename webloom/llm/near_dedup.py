@@ -209,6 +209,7 @@ def _rows(docs: DataFrame, percent: int, id_col: str, text_col: str) -> DataFram
     named = classes.select("node", "doc_id").join(placed.withColumnRenamed("id", "node"), "node")
     smallest = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     final = ws.save(named.join(smallest, "component").select(F.col("node").alias("hi"), "component_id"), "final")
+    ws.keep("sketch", "final")  # what the result is read from
     has = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
     alone = sketch.where(~has).select("doc_id", "hash", "n_shingles", F.col("doc_id").alias("component_id"))
     out = sketch.where(has).join(final, "hi").select("doc_id", "hash", "n_shingles", "component_id").unionByName(alone)

@@ -253,9 +253,11 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, block_ro
     rows = texts.select("text", F.coalesce("label", F.lit(-1)).alias("label")).mapInArrow(_count, "gram long, c0 int, c1 int, c2 int, c3 int")
     counted = ws.save(rows.groupBy("gram").agg(*[F.sum(c).alias(c) for c in ("c0", "c1", "c2", "c3")]), "counted")
     tables = ratios(counted, ws)
+    ws.drop("counted")
     chosen = known.where("label >= 2").orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
     mine = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", F.col("label").alias("row"))
     got = Model(*tables, "r0", block_rows).apply(mine, None).toArrow()
+    ws.drop("labels")
     x = np.stack([got.column(k).to_numpy() for k in (1, 2)], axis=1)
     return Model(*tables, "r1", block_rows), fit(x, got.column(0).to_numpy() - 2)
 
