@@ -12,6 +12,7 @@ from webloom.functions import urls
 from webloom.functions.html import Page, decode_body, interpret, parse_date
 from webloom.functions.urls import Scope, canonical, canonical_fast, decide
 from webloom.operators import crawl, pages
+from webloom.plans import web
 from webloom.sources.jobs import JobApi, JobResults, UpstreamError, route
 
 BASE = "https://example.test/"
@@ -343,3 +344,15 @@ def test_evidence_is_stored_once(spark, tmp_path):
     assert evidence(rows, root).count() == 3 and evidence(rows, root).count() == 3
     stored = spark.read.parquet(root).collect()
     assert sorted(r.body for r in stored) == ["a", "b"] and next(r for r in stored if r.body == "a").headers == {"Etag": "0"}
+
+
+def test_texts_cut_within_a_reference():
+    """A reference without its semicolon stays; attributes and scripts are read as ever."""
+    page = Page("<h1>A &amp;&lt;b&#39; &eacute; &nosuch; c&amp</h1><a href='/x?a=1&amp;b=2&amp'>y</a><script>a&amp;b</script>")
+    assert page.said(1) == "A &<b' é &nosuch; c&amp" and page.attrs[2]["href"] == "/x?a=1&b=2&" and page.text(3) == "a&amp;b"
+
+
+def test_title_of_a_cut_heading(spark, tmp_path):
+    spark.createDataFrame([(1, "https://e.test/a", "<h1>Les&amp;&amp</h1>")], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert web.page_title(spark, str(tmp_path)).first().title == "Les&&amp"
+    assert web.crawl_replay(spark, str(tmp_path)).first().title == "Les&&amp"
