@@ -356,3 +356,15 @@ def test_title_of_a_cut_heading(spark, tmp_path):
     spark.createDataFrame([(1, "https://e.test/a", "<h1>Les&amp;&amp</h1>")], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     assert web.page_title(spark, str(tmp_path)).first().title == "Les&&amp"
     assert web.crawl_replay(spark, str(tmp_path)).first().title == "Les&&amp"
+
+
+def test_facts_hold_few_pages_at_once(monkeypatch):
+    """Python objects of ROWS pages at most exist at a time, however large a batch is; other columns than those wanted are not made."""
+    import pyarrow as pa
+
+    from webloom.functions import html
+
+    most, make = [], pa.array
+    monkeypatch.setattr(html.pa, "array", lambda x, *more: most.append(len(x)) or make(x, *more))
+    got = html.facts_of("links").func(make(["https://e.test/"] * 1000), make(["<a href='/x'>y</a>"] * 1000))
+    assert len(got) == 1000 and max(most) <= html.ROWS and got[999].as_py() == {"links": [{"url": "/x", "source": "html_link", "text": "y"}]}
