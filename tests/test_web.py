@@ -368,3 +368,26 @@ def test_facts_hold_few_pages_at_once(monkeypatch):
     monkeypatch.setattr(html.pa, "array", lambda x, *more: most.append(len(x)) or make(x, *more))
     got = html.facts_of("links").func(make(["https://e.test/"] * 1000), make(["<a href='/x'>y</a>"] * 1000))
     assert len(got) == 1000 and max(most) <= html.ROWS and got[999].as_py() == {"links": [{"url": "/x", "source": "html_link", "text": "y"}]}
+
+
+def test_large_batches_are_dealt(spark, monkeypatch):
+    """A batch that is larger than a piece costs the same, is ranked alike, and no task has all of its answers."""
+    ws = crawl.Workspace(spark, "test")
+    got = spark.createDataFrame([(k, 1 + k % 2, "x" * (10 * k), k % 3 == 0, None) for k in range(1, 10)], "rank int, requests int, body string, rendered boolean, error string")
+    used = {"requests": 1, "bytes": 5, "rendered": 0}
+    limits = ({}, {"max_requests": 6}, {"max_requests": 15}, {"max_total_bytes": 100}, {"max_total_bytes": 5}, {"max_rendered_pages": 1})
+
+    def run(most):
+        return [sorted((r.rank, r.error or "", r.limit or "") for r in crawl._within_budget(got, most, crawl.Budget(**more), used).collect()) for more in limits]
+
+    plain = run(9)
+    assert [len(x) for x in plain] == [9, 3, 9, 4, 1, 6] and plain[3][-1] == (4, "byte_budget_exhausted", "max_total_bytes")
+    monkeypatch.setattr(crawl, "PIECE", 2)
+    assert run(9) == plain
+    rows = spark.range(1000).select((F.col("id") * 7 % 1000).alias("best"))
+    assert all(r.rank == r.best + 1 for r in crawl._first(rows, 500, ws, "ranked").collect())
+    plans = []
+    monkeypatch.setattr(crawl.P, "facts", lambda rows, *more: plans.append(rows._jdf.queryExecution().toString()) or rows)
+    chosen = got.select("rank", F.lit("u").alias("canonical_url"), F.struct(F.lit("https://e.test/").alias("url")).alias("head"), F.lit(0).alias("depth"), F.array(F.struct(F.lit(1).alias("first"), F.lit("x").alias("source"))).alias("sources"))
+    crawl._visit(lambda w: w.join(got, "rank"), chosen, 9, crawl.Budget(), used, ws, "answers")
+    assert "SinglePartition" not in plans[0] and "Window" not in plans[0]

@@ -25,6 +25,7 @@ SEQ = "struct<turn:int,rank:int,at:int>"
 RESPONSE = "url string, status int, media_type string, body string, redirect_to string"  #: and, if there are any: attempt int, error string, retryable boolean
 FETCHED = ("status", "media_type", "body", "redirect_to", "error", "requests", "rendered", "fallback_failed")
 REDIRECTS = 5
+PIECE = 10_000  #: rows of a batch that one task may put in a line; a larger batch is dealt
 
 Fetcher = Callable[[DataFrame], DataFrame]
 
@@ -212,8 +213,7 @@ def collect_site(spark: SparkSession, seeds: list[str] | DataFrame, responses: D
 
     rules: dict[str, dict] = {}
     if isinstance(seeds, DataFrame):
-        line = Window.orderBy("url")
-        start = seeds.select("url").distinct().select("url", F.lit(source).alias("source"), F.lit(0).alias("depth"), _seq(0, F.row_number().over(line), F.lit(0)).alias("seq"))
+        start = _numbered(seeds.select("url").distinct(), "url", ws, "seeds").select("url", F.lit(source).alias("source"), F.lit(0).alias("depth"), _seq(0, F.col("rank"), F.lit(0)).alias("seq"))
     else:
         canon_seeds = list(dict.fromkeys(c for c in (urls.canonical(s, ignored=scope.ignored_query_keys) for s in seeds) if c))
         if not canon_seeds:
@@ -251,8 +251,9 @@ def collect_site(spark: SparkSession, seeds: list[str] | DataFrame, responses: D
             if not waiting.isEmpty():
                 limits |= {"max_pages"} if left <= 0 else {"max_duration_seconds"} if clock() - began >= budget.max_duration_seconds else set()
             break
-        chosen = within.orderBy("best").limit(min(batch, left))
-        got = ws.save(_visit(fetch, chosen, budget, used), f"pages{turn}")
+        chosen = _first(within, min(batch, left), ws, f"chosen{turn}")
+        got = ws.save(_visit(fetch, chosen, min(batch, left), budget, used, ws, f"answers{turn}"), f"pages{turn}")
+        ws.drop(f"chosen{turn}", f"answers{turn}")
         n, requests, size, rendered, over = got.agg(F.count("*"), F.sum("requests"), F.sum("n_bytes"), F.count_if("rendered"), F.array_sort(F.collect_set("limit"))).first()
         if not n:
             break
@@ -280,7 +281,7 @@ def collect_site(spark: SparkSession, seeds: list[str] | DataFrame, responses: D
     if visited:
         every_page = spark.read.schema(visited[0].schema).parquet(*[f"{ws.path}/pages{k}" for k in range(turn)])
     else:
-        every_page = (got if got is not None else _visit(fetch, state.limit(0), budget, used)).drop("content")
+        every_page = (got if got is not None else _visit(fetch, _first(state.limit(0), 0, ws, ""), 0, budget, used, ws, "")).drop("content")
     pages = ws.save(_page_rows(every_page, collection_id, routes), "pages")
     every = spark.read.schema(links[0].schema).parquet(*[f"{ws.path}/links{k}" for k in range(len(links))])
     types = pages.select("canonical_url", "page_type", "confidence")
@@ -329,27 +330,63 @@ def _discovered(spark: SparkSession, fetch: Fetcher, scope: urls.Scope, origins:
     return out
 
 
-def _visit(fetch: Fetcher, chosen: DataFrame, budget: Budget, used: dict) -> DataFrame:
-    """Answers and facts of a batch of frontier rows."""
-    rank = F.row_number().over(Window.orderBy("best"))  # one batch, bounded
-    wanted = chosen.select("canonical_url", F.col("head.url").alias("url"), "depth", P.source_names("sources").alias("sources"), rank.alias("rank")).withColumn("wire", urls.wire_url("url"))
-    got = _within_budget(fetch(wanted), budget, used)
+def _numbered(rows: DataFrame, by: str, ws: Workspace, name: str) -> DataFrame:
+    """The rows with their rank by a column, from 1 on: they are sorted in ranges, and each range counts from where the ones before it end."""
+    rows = ws.save(rows.repartitionByRange(by).sortWithinPartitions(by).withColumn("__at", F.monotonically_increasing_id()), name)
+    part = F.shiftright("__at", 33)
+    sizes = rows.groupBy(part.alias("__part")).agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))  # a row for each range
+    sizes = sizes.select("__part", F.coalesce(before, F.lit(0)).alias("__before"))
+    rank = F.col("__before") + F.col("__at") - F.shiftleft("__part", 33) + 1
+    return rows.withColumn("__part", part).join(F.broadcast(sizes), "__part").withColumn("rank", rank.cast("int")).drop("__part", "__at", "__before")
+
+
+def _first(within: DataFrame, most: int, ws: Workspace, name: str) -> DataFrame:
+    """The best rows of the frontier, at most so many, with their rank."""
+    if most > PIECE:
+        return _numbered(within, "best", ws, name).where(F.col("rank") <= most)
+    return within.orderBy("best").limit(most).withColumn("rank", F.row_number().over(Window.orderBy("best")))
+
+
+def _visit(fetch: Fetcher, chosen: DataFrame, most: int, budget: Budget, used: dict, ws: Workspace, name: str) -> DataFrame:
+    """Answers and facts of a batch of frontier rows, most of them at most."""
+    wanted = chosen.select("canonical_url", F.col("head.url").alias("url"), "depth", P.source_names("sources").alias("sources"), "rank").withColumn("wire", urls.wire_url("url"))
+    got = fetch(wanted)
+    if most > PIECE:  # fetched once, and parsed in all tasks
+        got = ws.save(got.repartition(int(ws.spark.conf.get("spark.sql.shuffle.partitions")), "rank"), name)
+    got = _within_budget(got, most, budget, used)
     return P.facts(got.withColumn("n_bytes", F.octet_length("body").cast("long")).withColumn("content", F.col("body")), "wire", "body")
 
 
-def _within_budget(got: DataFrame, budget: Budget, used: dict) -> DataFrame:
+def _within_budget(got: DataFrame, most: int, budget: Budget, used: dict) -> DataFrame:
     """The answers that the budget pays for, in the order of the batch: what is asked for after the last request is not visited; the answer that exceeds the bytes or rendered pages fails, and nothing after it is visited."""
-    upto = Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)  # one batch
-    g = got.withColumn("r", F.sum("requests").over(upto) + used["requests"]).withColumn("b", F.sum(F.octet_length("body")).over(upto) + used["bytes"]).withColumn("p", F.count_if("rendered").over(upto) + used["rendered"])
-    limit = F.when(F.col("b") > budget.max_total_bytes, "max_total_bytes")
-    if budget.max_rendered_pages is not None:
-        limit = F.coalesce(limit, F.when(F.col("p") > budget.max_rendered_pages, "max_rendered_pages"))
-    g = g.withColumn("over", limit).withColumn("overs", F.count("over").over(upto))
-    g = g.where((F.col("overs") - F.col("over").isNotNull().cast("int") == 0) & (F.col("r") <= budget.max_requests))
-    last = F.when(F.col("r") >= budget.max_requests, "max_requests")
+    costs = {"requests": F.col("requests"), "bytes": F.octet_length("body"), "rendered": F.col("rendered").cast("int")}
+    order = Window.orderBy("rank") if most <= PIECE else Window.partitionBy("piece").orderBy("rank")
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    g, start = got, {k: F.lit(n) for k, n in used.items()}
+    if most > PIECE:
+        g = got.withColumn("piece", F.floor((F.col("rank") - 1) / PIECE))
+        pieces = g.groupBy("piece").agg(*[F.sum(c).alias(k) for k, c in costs.items()])
+        total = pieces.agg(*[F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in costs]).first()
+        spent = {k: used[k] + total[k] for k in costs}
+        if spent["requests"] < budget.max_requests and spent["bytes"] <= budget.max_total_bytes and spent["rendered"] <= (budget.max_rendered_pages if budget.max_rendered_pages is not None else spent["rendered"]):
+            return got.withColumn("limit", F.lit(None).cast("string"))
+        before = Window.orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)  # a row for each piece
+        pieces = pieces.select("piece", *[F.coalesce(F.sum(k).over(before), F.lit(0)).alias(f"{k}_before") for k in costs])
+        g = g.join(F.broadcast(pieces), "piece")
+        start = {k: F.lit(used[k]) + F.col(f"{k}_before") for k in costs}
+    g = g.withColumns({f"{k}_upto": F.sum(c).over(upto) + start[k] for k, c in costs.items()})
+
+    def over(upto: dict) -> Column:
+        limit = F.when(upto["bytes"] > budget.max_total_bytes, "max_total_bytes")
+        return limit if budget.max_rendered_pages is None else F.coalesce(limit, F.when(upto["rendered"] > budget.max_rendered_pages, "max_rendered_pages"))
+
+    sums = {k: F.col(f"{k}_upto") for k in costs}
+    g = g.withColumn("over", over(sums)).where(over({k: sums[k] - F.coalesce(c, F.lit(0)) for k, c in costs.items()}).isNull() | (F.col("rank") == 1)).where(sums["requests"] <= budget.max_requests)
+    last = F.when(sums["requests"] >= budget.max_requests, "max_requests")
     codes = {"max_total_bytes": "byte_budget_exhausted", "max_rendered_pages": "rendered_page_budget_exhausted"}
     failed = F.coalesce(F.col("error"), *[F.when(F.col("over") == k, v) for k, v in codes.items()])
-    return g.withColumn("error", failed).withColumn("limit", F.coalesce("over", last)).drop("r", "b", "p", "over", "overs")
+    return g.withColumn("error", failed).withColumn("limit", F.coalesce("over", last)).select(*got.columns, "limit")
 
 
 def _moved(got: DataFrame, turn: int) -> DataFrame:
@@ -443,7 +480,7 @@ def inspect_site(spark: SparkSession, seeds: list[str], responses: DataFrame | F
 def replay_pages(spark: SparkSession, sf_dir: str) -> Collection:
     """A crawl of the whole pages table: every page is a seed, and every link of a page is visited."""
     stored = spark.read.parquet(f"{sf_dir}/pages.parquet").select(urls.canonical_fast(F.col("url")).alias("url"), F.coalesce("html", F.lit("")).alias("body"))
-    responses = stored.where("url != ''").groupBy("url").agg(F.min("body").alias("body"))
+    responses = Workspace(spark, "replay").save(stored.where("url != ''").groupBy("url").agg(F.min("body").alias("body")), "bodies")
     responses = responses.select("url", F.lit(200).alias("status"), F.lit("text/html").alias("media_type"), "body", F.lit(None).cast("string").alias("redirect_to"))
     free = 1 << 62
     return collect_site(spark, responses.select("url"), responses, urls.Scope(), Budget(free, 1 << 31 - 1, 1, float("inf"), free, free), batch=1 << 30)
